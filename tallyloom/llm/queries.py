@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, substring, tokenfile, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids with crc32 mod 4 = 2 are held out."""
+    documents, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(documents, labels, ~held_out)
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     items = decontaminate.item_ids()
@@ -45,5 +63,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 """
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op4_decontaminate": op4_decontaminate}
-ORACLES = {"op4_decontaminate": OP4_SQL}
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM k) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM late)),
+word AS (SELECT doc_id, q, w[q] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS q FROM d)),
+kept AS (SELECT word.doc_id, count(gone.q) AS n, coalesce(string_agg(x, ' ' ORDER BY word.q) FILTER (WHERE gone.q IS NULL), '') AS s FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.q = gone.q GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op10_token_file": op10_token_file,
+}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op7_substring_dedup": OP7_SQL}
