@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, substring, tokenfile, toxicity
+from . import bpe, decontaminate, quality, substring, tokenfile, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of ids with crc32 mod 4 = 2 are held out."""
     documents, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
@@ -75,6 +80,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
