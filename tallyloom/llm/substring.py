@@ -110,7 +110,7 @@ def _pack(window: int, m: int, buckets: int):
         import zstandard
 
         np.seterr(over="ignore")
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=5)
         for b in batches:
             ids = b.column("doc").to_numpy(zero_copy_only=False)
             keys = b.column("tk").to_numpy(zero_copy_only=False)
@@ -149,7 +149,7 @@ def _pack(window: int, m: int, buckets: int):
                 cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
                 data = []
                 for a, z in zip(cuts[:-1], cuts[1:]):
-                    body = head[a:z].tobytes() + text[(ends[a] - length[a]) : ends[z - 1]]
+                    body = b"".join(np.ascontiguousarray(head[f][a:z]).tobytes() for f in HEAD.names) + text[(ends[a] - length[a]) : ends[z - 1]]
                     data.append((z - a).to_bytes(4, "little") + squeeze.compress(body))
                 n = len(data)
                 yield _batch(bucket[cuts[:-1]], np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), data)
@@ -166,8 +166,12 @@ def _settle(blobs: list[bytes], window: int, spread: int):
     for x in blobs:
         n = int.from_bytes(x[:4], "little")
         body = open_.decompress(x[4:])
-        heads.append(np.frombuffer(body, dtype=HEAD, count=n))
-        texts.append(body[n * HEAD.itemsize :])
+        head, at = np.empty(n, dtype=HEAD), 0
+        for f in HEAD.names:  # column by column
+            head[f] = np.frombuffer(body, dtype=HEAD[f], count=n, offset=at)
+            at += n * HEAD[f].itemsize
+        heads.append(head)
+        texts.append(body[at:])
     head = np.concatenate(heads)
     off = np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)])
     w = Words(np.frombuffer(b"".join(texts), dtype=np.uint8), off, TABLE)
@@ -237,7 +241,7 @@ def _cover(window: int):
     return run
 
 
-def remove_repeats(df: DataFrame, window: int = 13, m: int = 3, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 13, m: int = 2, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept: each text without the words covered by a window that a document of smaller id has, too; words joined by one space.
 
     The id is a whole number. ``buckets`` follows spark.sql.shuffle.partitions where it is not given.
