@@ -201,11 +201,12 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     return df.mapInArrow(run, f"{fields}, data binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256 of decoded rows."""
+def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256 of decoded rows; with ids, these as well."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("data", 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
     )

@@ -320,3 +320,12 @@ def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 512, i
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(more))
     own = classes.select("print", "n", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("print", "n", F.coalesce("component", "id").alias("component"))
     return sketches.join(own, ["print", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of df without those linked to a smaller id; rows without an id stay."""
+    from .lines import sent
+
+    linked = link(df, shingle, percent, id_col=id_col, text_col=text_col)
+    later = cut(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)))
+    return sent(df, later, [id_col], "left_anti")

@@ -167,7 +167,7 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def judge(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat: int = 50, min_chars: int = 200, max_char_distance: float = 0.35, near_char_distance: float = 0.18, max_word_distance: float = 0.25) -> DataFrame:
+def judge(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat: int = 50, min_chars: int = 200, max_char_distance: float = 0.35, near_char_distance: float = 0.18, max_word_distance: float = 0.25, max_languages_sent: int = 10_000) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed and kept, beside ``row``, the input's columns (all, or those to keep)."""
     counts = cut(features(df, keep, text_col, lang_col))
     sizes = (("char_shares", N_CLASSES), ("word_shares", N_COMMON + 1))
@@ -175,6 +175,9 @@ def judge(df: DataFrame, keep: list[str] | None = None, text_col: str = "text",
     middle = [F.percentile_approx(F.when(fair, F.get(s, F.lit(k))), 0.5, F.lit(10_000)).alias(f"{s}{k}") for s, n in sizes for k in range(n)]
     reference = counts.groupBy(F.coalesce("lang", F.lit("")).alias("lang_key")).agg(*middle)
     reference = reference.select("lang_key", *(_normal(F.array(*(F.coalesce(F.col(f"{s}{k}"), F.lit(0.0)) for k in range(n)))).alias(f"ref_{s}") for s, n in sizes))
+    reference = cut(reference)
+    if reference.count() <= max_languages_sent:  # else the join deals out both sides
+        reference = F.broadcast(reference)
     out = counts.withColumn("lang_key", F.coalesce("lang", F.lit(""))).join(reference, "lang_key")
     long = (F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words)
     out = out.select(
