@@ -9,16 +9,18 @@ two registers agree about as often as the sets' Jaccard similarity.
 1. Documents of equal sets are one class, linked by definition; only the class's
    smallest id goes on.
 2. Registers are cut into bands; classes that agree on a band share a bucket.
-   With 32 bands of 4, two sets of similarity 0.75 share none once in 190,000.
-3. In each bucket, every member is paired with one member picked by hash, twice
-   with different picks, leaving out what is connected already. A pair's
-   similarity is estimated from its registers by maximum likelihood; pairs far
-   below the threshold are dropped, the others are compared on their full sets.
-4. Links join to components. Only members of one bucket that are still in
-   different components are then compared pair by pair, in blocks of at most
-   ``block`` members, so that no task holds a whole bucket.
-
-So groups of many copies cost a few pairs a member, and no link is left out: two
+   With 51 bands of 5, two sets of similarity 0.75 share none once in a million.
+3. In each bucket, every member is paired with two members picked by the bucket.
+   A pair's similarity is estimated from its registers by maximum likelihood;
+   pairs far below the threshold are dropped, the others are compared on their
+   full sets. Links join to components.
+4. Members of one bucket that are still in different components are estimated
+   pair by pair, in blocks. What may be alike is joined into families, as a tree
+   of pairs and not all of them; a family's members are then compared on their
+   full sets across components, again in blocks, until they are connected. No
+   task holds more than two blocks, and each returns a tree at most.
+
+So a group of many copies costs a few rows a member, and no link is left out: two
 members of a bucket are compared, or connected through others. Null and empty
 texts, and texts without words, have empty sets and no links; a text of fewer
 than five words is one shingle. Of rows that share an id, the one whose set has
@@ -39,7 +41,10 @@ from .components import components
 from ._words import Words, mix, text_slices, white_space_table, window_hashes
 
 TABLE = white_space_table(True)
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS = 256, 5
+BANDS = REGISTERS // ROWS
+#: Registers that an estimate reads.
+READ = 128
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 _U = np.uint64
 
@@ -136,26 +141,21 @@ def _sketch(size: int):
     return run
 
 
-def _bands(rows: int):
-    """Each class to its bands: the registers of a band are its bucket."""
-
-    def run(batches):
-        for b in batches:
-            n = len(b)
-            if not n:
-                continue
-            regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), dtype="<u2").reshape(n, REGISTERS)
-            key = regs.reshape(n, REGISTERS // rows, rows)
-            packed = np.zeros(key.shape[:2], dtype=_U)
-            for k in range(rows):
-                packed = mix(packed ^ key[:, :, k].astype(_U) * _U(0x9E3779B97F4A7C15))
-            bands = REGISTERS // rows
-            packed = mix(packed + np.arange(bands, dtype=_U)[None, :])
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            band = np.tile(np.arange(bands, dtype=np.int32), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(band), pa.array(packed.ravel().view(np.int64))], ["id", "band", "bucket"])
-
-    return run
+def _bands(batches):
+    """Each class to its bands: a hash of a band's registers, its low bits the band's number, is the bucket."""
+    np.seterr(over="ignore")
+    for b in batches:
+        n = len(b)
+        if not n:
+            continue
+        regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), dtype="<u2").reshape(n, REGISTERS)
+        key = regs[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)
+        packed = np.zeros((n, BANDS), dtype=_U)
+        for k in range(ROWS):
+            packed = mix(packed ^ key[:, :, k].astype(_U) * _U(0x9E3779B97F4A7C15))
+        packed = (packed & ~_U(63)) | np.arange(BANDS, dtype=_U)[None, :]
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(packed.ravel().view(np.int64))], ["id", "bucket"])
 
 
 def _likely(least: float):
@@ -166,7 +166,7 @@ def _likely(least: float):
             n = len(b)
             if not n:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(n, REGISTERS) for c in ("regs_a", "regs_b"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(n, READ) for c in ("regs_a", "regs_b"))
             nx, ny = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
             yield b.select(["a", "b"]).filter(pa.array(estimate(x, y, nx, ny) >= least))
 
@@ -200,124 +200,152 @@ def _full(size: int):
     return run
 
 
-PAIRS = 1 << 16
+class Forest:
+    """Which members are connected; the smaller of two roots is the root."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
 
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
-def _apart(component, ids, regs, side, band, rows: int):
-    """Rows of a group to pairs in different components, each in the first band that it shares."""
+
+def _connect(t: dict, least: float, alike) -> list[tuple[int, int]]:
+    """Pairs that connect components of a pair of blocks: across, likely by their registers, alike, and not connected yet."""
+    side, component = t["side"], t["component"]
+    if (component == component[0]).all():
+        return []
+    _, names = np.unique(component, return_inverse=True)
+    forest = Forest(int(names.max()) + 1)
     x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    whole = side[0] == 2
-    bands = regs.reshape(len(ids), REGISTERS // rows, rows)
+    n, out = t["n"].astype(float), []
     for i in x.tolist():
-        other = y[(component[y] != component[i]) & ((ids[y] > ids[i]) | (not whole))]
-        if len(other):
-            agree = (bands[other] == bands[i]).all(axis=2)
-            other = other[agree.argmax(axis=1) == band]
-            yield np.full(len(other), i), other
-
-
-def _across(least: float, rows: int):
-    """Likely pairs across components, from rows sorted by bucket and blocks; only one pair of blocks is held at a time."""
-
-    def pairs(t):
-        key = np.stack([t[c] for c in ("bucket", "p", "q")])
-        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), key.shape[1]]
-        one, two, size = [], [], 0
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            c = t["component"][a:z]
-            if (c != c[0]).any():
-                for i, j in _apart(c, t["id"][a:z], t["regs"][a:z], t["side"][a:z], int(t["band"][a]), rows):
-                    one.append(i + a)
-                    two.append(j + a)
-                    size += len(j)
-                    if size >= PAIRS:
-                        yield np.concatenate(one), np.concatenate(two)
-                        one, two, size = [], [], 0
-        if one:
-            yield np.concatenate(one), np.concatenate(two)
-
-    def found(t):
-        for i, j in pairs(t):
-            n = t["n"].astype(float)
-            good = estimate(t["regs"][i], t["regs"][j], n[i], n[j]) >= least
-            x, y = t["id"][i[good]], t["id"][j[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+        roots = np.array([forest.root(k) for k in range(len(forest.up))])[names]
+        other = y[roots[y] != roots[i]]
+        if side[0] == 2:
+            other = other[other > i]
+        if not len(other):
+            continue
+        # registers agree at least about as often as sets do: no need to estimate what is far below
+        agree = (t["regs"][other] == t["regs"][i]).mean(axis=1)
+        near = agree >= least - 0.1
+        other, agree = other[near], agree[near]
+        other = other[estimate(np.broadcast_to(t["regs"][i], (len(other), READ)), t["regs"][other], np.full(len(other), n[i]), n[other]) >= least]
+        for j in other.tolist():
+            if forest.root(names[i]) != forest.root(names[j]) and alike(i, j):
+                forest.join(names[i], names[j])
+                out.append((i, j))
+    return out
+
+
+def _blocks(least: float, percent: int | None):
+    """Rows sorted by group and pair of blocks to pairs that connect: by registers alone, or by full sets too if a percentage is given. One pair of blocks is held at a time."""
+
+    def settle(rows: list) -> pa.RecordBatch:
+        t = {c: np.array([r[c] for r in rows]) for c in ("id", "component", "side", "n")}
+        t["regs"] = np.frombuffer(b"".join(r["regs"] for r in rows), dtype="<u2").reshape(len(rows), READ)
+
+        def alike(i, j):
+            if percent is None:
+                return True
+            s, u = (np.frombuffer(rows[k]["set"], dtype=_U) for k in (i, j))
+            both = len(np.intersect1d(s, u, assume_unique=True))
+            return 100 * both >= percent * (len(s) + len(u) - both)
+
+        found = _connect(t, least, alike)
+        a, b = (np.array([int(t["id"][p[k]]) for p in found], dtype=np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches):
-        held = None
+        now, rows = None, []
         for b in batches:
-            if not len(b):
-                continue
-            t = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "p", "q", "band", "id", "component", "side", "n")}
-            t["regs"] = np.frombuffer(b"".join(b.column("regs").to_pylist()), dtype="<u2").reshape(len(b), REGISTERS)
-            if held:
-                t = {c: np.concatenate([held[c], t[c]]) for c in t}
-            last = np.ones(len(t["id"]), dtype=bool)
-            for c in ("bucket", "p", "q"):
-                last &= t[c] == t[c][-1]
-            done = int(np.argmax(last))  # the last group may go on in the next batch
-            held = {c: v[done:] for c, v in t.items()}
-            if done:
-                yield from found({c: v[:done] for c, v in t.items()})
-        if held:
-            yield from found(held)
+            for r in b.to_pylist():
+                key = (r["bucket"], r["p"], r["q"])
+                if key != now:
+                    if rows:
+                        yield settle(rows)
+                    now, rows = key, []
+                rows.append(r)
+        if rows:
+            yield settle(rows)
 
     return run
 
 
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """Members (bucket, size, id, component) to all pairs of their bucket's blocks; side is 0 or 1, or 2 in a pair of a block with itself."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    mine = members.select("bucket", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return mine.select(
+        "bucket",
+        "id",
+        "component",
+        F.least("mine", "other").alias("p"),
+        F.greatest("mine", "other").alias("q"),
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component, with their sizes."""
+    return members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket", "size")
+
+
 def _first(rows: DataFrame) -> DataFrame:
     """One row for each id."""
     return rows.groupBy("doc_id").agg(F.max(F.struct("print", "n", "regs")).alias("s")).select("doc_id", "s.*")
 
 
-def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each id, a whole number: doc_id, n_shingles and component_id, the smallest id reachable over links."""
     d = documents(df, id_col, text_col).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = percent / 100 - 0.2
     sketches = cut(_first(d.mapInArrow(_sketch(shingle), "doc_id long, n long, print binary, regs binary")))
     classes = cut(sketches.filter("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
-    light = classes.select("id", "n", "regs")
+    light = classes.select("id", "n", F.substring("regs", 1, 2 * READ).alias("regs"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         one, two = (light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
         return pairs.join(one, "a").join(two, "b").mapInArrow(_likely(least), "a long, b long")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def full_sets(ids: DataFrame) -> DataFrame:
         mine = classes.select("id", "print").join(ids, "id")
         texts = d.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        sets = cut(texts.mapInArrow(_full(shingle), "id long, print binary, set binary").join(mine, ["id", "print"], "left_semi").dropDuplicates(["id"]))
-        one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        return cut(pairs.join(one, "a").join(two, "b").mapInArrow(_alike(percent), "a long, b long"))
-
-    buckets = classes.select("id", "regs").mapInArrow(_bands(ROWS), "id long, band int, bucket long")
-    picks = [F.min(F.struct(F.xxhash64(*order), F.col("id"))).alias(x) for x, order in (("one", ("id", "bucket")), ("two", ("bucket", "id")))]
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *picks).filter("size > 1")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "band", "id", "size", F.col("one.id").alias("one"), F.col("two.id").alias("two")))
-    pairs = members.select("id", F.explode(F.array_distinct(F.array("one", "two"))).alias("pick")).filter("id <> pick")
-    tried = cut(pairs.select(F.greatest("id", "pick").alias("a"), F.least("id", "pick").alias("b")).distinct())
-    links = alike(cut(likely(tried)))
+        return cut(texts.mapInArrow(_full(shingle), "id long, print binary, set binary").join(mine, ["id", "print"], "left_semi").dropDuplicates(["id"]))
+
+    def compared(rows: DataFrame, percent_: int | None) -> DataFrame:
+        grouped = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+        return grouped.mapInArrow(_blocks(least, percent_), "a long, b long")
+
+    buckets = classes.select("id", "regs").mapInArrow(_bands, "id long, bucket long")
+    # two members of each bucket, other ones in every bucket: the ends of an order that depends on it
+    mixed_id = F.col("id").bitwiseXOR(F.col("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(mixed_id).alias("one"), F.max(mixed_id).alias("two")).filter("size > 1")
+    members = cut(buckets.join(shared, "bucket").select("bucket", "id", "size", F.col("one").bitwiseXOR(F.col("bucket")).alias("one"), F.col("two").bitwiseXOR(F.col("bucket")).alias("two")))
+    picked = members.select("id", F.explode(F.array("one", "two")).alias("pick")).filter("id <> pick")
+    pairs = cut(likely(picked.select(F.greatest("id", "pick").alias("a"), F.least("id", "pick").alias("b")).distinct()))
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    links = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_alike(percent), "a long, b long"))
     parts = components(links)
-    # members of a bucket that the picks left apart
-    apart = cut(members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    mixed = apart.filter("size > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = apart.join(mixed, "bucket").select("bucket", "band", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select(
-        "bucket",
-        "band",
-        "id",
-        "component",
-        F.least("mine", "other").alias("p"),
-        F.greatest("mine", "other").alias("q"),
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    grouped = dealt.join(light, "id").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    across = grouped.mapInArrow(_across(least, ROWS), "a long, b long")
-    rest = cut(across.join(tried, ["a", "b"], "left_anti").distinct())
-    if not rest.isEmpty():
-        more = alike(rest)
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(more))
+    # what the picks left apart: families of what may be alike, then full sets within them
+    apart = cut(members.filter("size > 2").select("bucket", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    maybe = cut(compared(_dealt(apart.join(_mixed(apart), "bucket"), block).join(light, "id"), None).distinct())
+    if not maybe.isEmpty():
+        tied = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+        family = components(tied.unionByName(maybe)).select(F.col("node").alias("id"), F.col("component").alias("bucket"))
+        family = cut(family.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        left = cut(family.join(_mixed(family), "bucket"))
+        rows = _dealt(left, block).join(light, "id").join(full_sets(left.select("id")), "id")
+        parts = components(tied.unionByName(cut(compared(rows, percent))))
     own = classes.select("print", "n", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("print", "n", F.coalesce("component", "id").alias("component"))
     return sketches.join(own, ["print", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
