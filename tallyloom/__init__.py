@@ -1,0 +1 @@
+"""Append-only event analytics on Spark."""
