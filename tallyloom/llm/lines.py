@@ -8,7 +8,7 @@ goes, everywhere, if a line whose first place is earlier lies within
 
 The edit join cuts each line into threshold + 1 segments; within the distance,
 one segment of the shorter line is a substring of the longer one, near its own
-place. Each line is filed under its segments, by length and number, and looked
+place. (Spark's edit distance runs in a band of the threshold, in the JVM.) Each line is filed under its segments, by length and number, and looked
 up with the substrings that the length difference allows. Pairs found so are
 thinned by the parity of their words (an edit changes at most three) and then
 compared by edit distance within a band of the threshold.
@@ -73,12 +73,50 @@ def _probes(line: Column, threshold: int, least: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+#: A segment that more lines than this have in one place is looked up with the rest of the line.
+CROWD = 16
+PARTS = 8
+
+
+def _rest(line: Column, less: int) -> list[Column]:
+    """Keys of a line without one of its PARTS parts: lines of equal length that differ in one place share one, as does a line with one longer by less, taken apart as if the addition were in the part."""
+    n = F.length(line) - less
+    keys = []
+    for k in range(PARTS):
+        start, size = segment(n, k, PARTS)
+        after = n - (start - 1) - size
+        keys.append(F.xxhash64(n, F.lit(k), F.substr(line, F.lit(1), start - 1), F.substr(line, F.length(line) - after + 1, after)))
+    return keys
+
+
 def near_pairs(lines: DataFrame, threshold: int, min_edit_chars: int) -> DataFrame:
-    """Pairs of line hashes (a, b) that share a segment; b's line is no longer than a's."""
+    """Pairs of line hashes that share a segment.
+
+    Where a segment is crowded, lines that have it are matched by all but one of
+    eight parts instead, which finds the same pairs for a threshold of 1; for
+    other thresholds a crowded segment stays as it is.
+    """
     own = lines.filter(F.length("line") >= min_edit_chars).select("line", F.xxhash64("line").alias("h"))
-    filed = own.select("h", F.explode(_filed(F.col("line"), threshold)).alias("key")).distinct()
-    asked = own.select("h", F.explode(_probes(F.col("line"), threshold, min_edit_chars)).alias("key")).filter("key IS NOT NULL").distinct()
-    return asked.withColumnRenamed("h", "a").join(filed.withColumnRenamed("h", "b"), "key").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    sides = ((_filed(F.col("line"), threshold), 0), (_probes(F.col("line"), threshold, min_edit_chars), 1))
+    every = F.concat(*(F.transform(keys, _sided(side)) for keys, side in sides))
+    keys = cut(own.select("h", F.explode(every).alias("k")).filter("k.key IS NOT NULL").select("h", "k.key", "k.side").distinct())
+    filed, asked = keys.filter("side = 0").select("key", F.col("h").alias("b")), keys.filter("side = 1").select("key", F.col("h").alias("a"))
+    fine = None
+    if threshold == 1:
+        crowded = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"))
+        many = cut(sent(keys, crowded, ["key"], "left_semi").select("h").distinct())
+        filed = sent(filed, crowded, ["key"], "left_anti")
+        kept = sent(own, many, ["h"], "left_semi")
+        one = kept.select(F.col("h").alias("b"), F.explode(F.array(*_rest(F.col("line"), 0))).alias("key")).distinct()
+        two = kept.select(F.col("h").alias("a"), F.explode(F.array(*_rest(F.col("line"), 0), *_rest(F.col("line"), 1))).alias("key")).distinct()
+        fine = two.join(one, "key").filter("a <> b").select("a", "b")
+    pairs = asked.join(filed, "key").filter("a <> b").select("a", "b")
+    pairs = pairs.unionByName(fine) if fine is not None else pairs
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _sided(side: int):
+    return lambda key: F.struct(key.alias("key"), F.lit(side).alias("side"))
 
 
 def _parity(line: Column) -> Column:
@@ -99,9 +137,10 @@ def dropped(df: DataFrame, threshold: int = 1, min_chars: int = 24, min_edit_cha
     # first document of each line that occurs twice; within a document by place
     first = places.groupBy("h", "g").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     again = places.join(first.select("h", "g", "first"), ["h", "g"])
-    inner = again.filter(F.col("doc") == F.col("first")).groupBy("doc", "tk", "h", "g").agg(F.min("no").alias("least"))
     equal = again.filter(F.col("doc") > F.col("first")).select("doc", "tk", "no")
-    same = again.filter(F.col("doc") == F.col("first")).join(inner, ["doc", "tk", "h", "g"]).filter(F.col("no") > F.col("least")).select("doc", "tk", "no")
+    # in the first document all places but the first one; there the places are collected, by document
+    inner = again.filter(F.col("doc") == F.col("first")).groupBy("doc", "tk", "h", "g").agg(F.array_sort(F.collect_set("no")).alias("nos"))
+    same = inner.filter(F.size("nos") > 1).select("doc", "tk", F.explode(F.slice("nos", 2, F.size("nos"))).alias("no"))
     pairs = cut(near_pairs(lines, threshold, min_edit_chars))
     names = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     found = sent(lines.filter(F.length("line") >= min_edit_chars).select("doc", "tk", "no", "line", *_hashes(F.col("line"))), names, ["h"], "left_semi")
