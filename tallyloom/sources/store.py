@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BadRequest, Corrupt, StoreClosed, StoreError
-from ..functions.values import parse_event
+from ..functions.values import parse_event, split_batch
 from ..operators.terminals import dense, keep_blocks, named
 from ..schema import BLOCK, SEQ, Schema
 
@@ -254,6 +254,14 @@ class EventStore:
         self.flush()
         return len(events)
 
+    def post(self, body: bytes | str) -> int:
+        """One event, or a JSON array of events as one batch; returns how many."""
+        text = body if isinstance(body, str) else body.decode("utf-8", "replace")
+        if text.lstrip(" \t\r\n").startswith("["):
+            return self.append_batch_durable(split_batch(body))
+        self.append_durable(body)
+        return 1
+
     def flush(self) -> None:
         self._check_open()
         if self.buffer:

@@ -131,6 +131,10 @@ def test_batches_are_all_or_nothing(spark, tmp_path):
     assert store.table().count() == 1
     store.append('{"ts":2}')
     assert ask(store, "/events/count") == {"count": 2}
+    assert store.post('{"ts":3,"props":{ "a":1}}') == 1 and store.post(b' [{"ts":4},{"ts":5}]') == 2
+    with pytest.raises(BadRequest):
+        store.post("[]")
+    assert ask(store, "/events/count") == {"count": 5}
     store.close()
     with pytest.raises(StoreClosed):
         store.append('{"ts":2}')
