@@ -219,30 +219,34 @@ class Forest:
 
 
 def _connect(t: dict, least: float, alike) -> list[tuple[int, int]]:
-    """Pairs that connect components of a pair of blocks: across, likely by their registers, alike, and not connected yet."""
-    side, component = t["side"], t["component"]
+    """Pairs that connect components of a pair of blocks: across, likely by their registers, alike, and not connected yet. The likeliest come first."""
+    component, side = t["component"], t["side"]
     if (component == component[0]).all():
         return []
     _, names = np.unique(component, return_inverse=True)
-    forest = Forest(int(names.max()) + 1)
     x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    n, out = t["n"].astype(float), []
-    for i in x.tolist():
-        roots = np.array([forest.root(k) for k in range(len(forest.up))])[names]
-        other = y[roots[y] != roots[i]]
-        if side[0] == 2:
-            other = other[other > i]
-        if not len(other):
-            continue
-        # registers agree at least about as often as sets do: no need to estimate what is far below
-        agree = (t["regs"][other] == t["regs"][i]).mean(axis=1)
-        near = agree >= least - 0.1
-        other, agree = other[near], agree[near]
-        other = other[estimate(np.broadcast_to(t["regs"][i], (len(other), READ)), t["regs"][other], np.full(len(other), n[i]), n[other]) >= least]
-        for j in other.tolist():
-            if forest.root(names[i]) != forest.root(names[j]) and alike(i, j):
-                forest.join(names[i], names[j])
-                out.append((i, j))
+    agree = np.stack([(t["regs"][y] == t["regs"][i]).mean(axis=1) for i in x.tolist()])
+    # registers agree about as often as sets do; what is far above or below needs no estimate
+    open_ = (agree >= least - 0.1) & (names[x][:, None] != names[y][None, :])
+    if side[0] == 2:
+        open_ &= x[:, None] < y[None, :]
+    i, j = np.nonzero(open_)
+    how = agree[i, j]
+    i, j, n = x[i], y[j], t["n"].astype(float)
+    grey = how < least + 0.1
+    keep = ~grey
+    if grey.any():
+        p, q = i[grey], j[grey]
+        keep[grey] = estimate(t["regs"][p], t["regs"][q], n[p], n[q]) >= least
+    order = np.argsort(-how[keep], kind="stable")
+    forest, left, out = Forest(int(names.max()) + 1), len(np.unique(names)) - 1, []
+    for a, b in zip(i[keep][order].tolist(), j[keep][order].tolist()):
+        if forest.root(names[a]) != forest.root(names[b]) and alike(a, b):
+            forest.join(names[a], names[b])
+            out.append((a, b))
+            left -= 1
+            if not left:
+                break
     return out
 
 
