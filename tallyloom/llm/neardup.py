@@ -10,7 +10,7 @@ two registers agree about as often as the sets' Jaccard similarity.
    smallest id goes on.
 2. Registers are cut into bands; classes that agree on a band share a bucket.
    With 51 bands of 5, two sets of similarity 0.75 share none once in a million.
-3. In each bucket, every member is paired with two members picked by the bucket.
+3. In each bucket, every member is paired with one member picked by the bucket.
    A pair's similarity is estimated from its registers by maximum likelihood;
    pairs far below the threshold are dropped, the others are compared on their
    full sets. Links join to components.
@@ -330,11 +330,10 @@ def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 256, i
         return grouped.mapInArrow(_blocks(least, percent_), "a long, b long")
 
     buckets = classes.select("id", "regs").mapInArrow(_bands, "id long, bucket long")
-    # two members of each bucket, other ones in every bucket: the ends of an order that depends on it
-    mixed_id = F.col("id").bitwiseXOR(F.col("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(mixed_id).alias("one"), F.max(mixed_id).alias("two")).filter("size > 1")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "id", "size", F.col("one").bitwiseXOR(F.col("bucket")).alias("one"), F.col("two").bitwiseXOR(F.col("bucket")).alias("two")))
-    picked = members.select("id", F.explode(F.array("one", "two")).alias("pick")).filter("id <> pick")
+    # one member of each bucket, another one in every bucket: the first in an order that depends on it
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("one")).filter("size > 1")
+    members = cut(buckets.join(shared, "bucket").select("bucket", "id", "size", F.col("one").bitwiseXOR(F.col("bucket")).alias("pick")))
+    picked = members.filter("id <> pick").select("id", "pick")
     pairs = cut(likely(picked.select(F.greatest("id", "pick").alias("a"), F.least("id", "pick").alias("b")).distinct()))
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
