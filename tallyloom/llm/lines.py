@@ -51,16 +51,16 @@ def segment(n: Column, k: int, parts: int) -> tuple[Column, Column]:
     return size * k + before + 1, size + F.when(F.lit(k) >= F.lit(parts) - longer, 1).otherwise(0)
 
 
-def _filed(line: Column, threshold: int) -> Column:
+def _filed(line: Column, threshold: int) -> list[Column]:
     n, parts = F.length(line), threshold + 1
     keys = []
     for k in range(parts):
         start, size = segment(n, k, parts)
         keys.append(F.xxhash64(n, F.lit(k), F.substr(line, start, size)))
-    return F.array(*keys)
+    return keys
 
 
-def _probes(line: Column, threshold: int, least: int) -> Column:
+def _probes(line: Column, threshold: int, least: int) -> list[Column]:
     """Keys of the segments that a line at most threshold shorter may share."""
     n, parts = F.length(line), threshold + 1
     keys = []
@@ -70,7 +70,7 @@ def _probes(line: Column, threshold: int, least: int) -> Column:
             start, size = segment(m, k, parts)
             lo, hi = max(-k, less - (threshold - k)), min(k, less + (threshold - k))
             keys += [F.when(m >= least, F.xxhash64(m, F.lit(k), F.substr(line, start + shift, size))) for shift in range(lo, hi + 1)]
-    return F.array_distinct(F.array(*keys))
+    return keys
 
 
 #: A segment that more lines than this have in one place is looked up with the rest of the line.
@@ -98,7 +98,7 @@ def near_pairs(lines: DataFrame, threshold: int, min_edit_chars: int) -> DataFra
     """
     own = lines.filter(F.length("line") >= min_edit_chars).select("line", F.xxhash64("line").alias("h"))
     sides = ((_filed(F.col("line"), threshold), 0), (_probes(F.col("line"), threshold, min_edit_chars), 1))
-    every = F.concat(*(F.transform(keys, _sided(side)) for keys, side in sides))
+    every = F.array(*(F.struct(key.alias("key"), F.lit(side).alias("side")) for keys, side in sides for key in keys))
     keys = cut(own.select("h", F.explode(every).alias("k")).filter("k.key IS NOT NULL").select("h", "k.key", "k.side").distinct())
     filed, asked = keys.filter("side = 0").select("key", F.col("h").alias("b")), keys.filter("side = 1").select("key", F.col("h").alias("a"))
     fine = None
@@ -115,10 +115,6 @@ def near_pairs(lines: DataFrame, threshold: int, min_edit_chars: int) -> DataFra
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _sided(side: int):
-    return lambda key: F.struct(key.alias("key"), F.lit(side).alias("side"))
-
-
 def _parity(line: Column) -> Column:
     """64 bits: how many words of each of 64 kinds, odd or even."""
     kinds = F.transform(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda x: F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
