@@ -7,8 +7,12 @@ log2(p(entity, term) / (p(entity) p(term))) never exceeds the entity's own
 information -log2 p(entity); a term whose ratio of the two reaches the threshold
 discloses the entity and is generalised or removed beside it, in documents that
 hold the entity. Joint counts are taken over the characters around each entity,
-term counts over all documents. A pair counts only if at least ``min_docs``
-documents hold it, so words that merely stand there once are left alone.
+term counts over all documents. There is no least number of documents: a pair
+counts if the term would hardly fall in so many of the entity's documents by
+chance. With q the term's share of documents and n_both of n_entity documents, that
+chance is at most 2^-(n_entity KL(n_both / n_entity || q)); times the number of
+terms in the corpus it must not pass ``chance``. So words that merely stand there
+once are left alone where such words are common, and not where they are rare.
 
 Spans are in code points, end exclusive; spans of one kind do not overlap.
 
@@ -20,6 +24,8 @@ terms.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,23 +148,33 @@ def neighbours(found: DataFrame, reach: int) -> DataFrame:
     return words.filter(whole).select("doc", "tk", "entity", F.lower(_cut_out(F.col("c.s"), F.col("w"))).alias("term"), (F.col("c.at") + F.col("w.start")).alias("start"), (F.col("c.at") + F.col("w.end")).alias("end"))
 
 
-def disclosing(near: DataFrame, found: DataFrame, corpus: DataFrame, text_col: str, threshold: float, min_docs: int) -> DataFrame:
+def evidence(both: Column, entity: Column, term: Column, total: int) -> Column:
+    """Bits by which both of the entity's documents with the term are too many for chance (Chernoff's bound)."""
+    other = entity - both
+    rest = F.when(other > 0, other * F.log2(other * float(total) / (entity * F.greatest(F.lit(total) - term, F.lit(1))))).otherwise(0.0)
+    return both * F.log2(both * float(total) / (entity * term)) + rest
+
+
+def discloses(both: Column, entity: Column, term: Column, total: int, tested: int, threshold: float, chance: float) -> Column:
+    information = F.log2(F.lit(float(total)) / entity)
+    shared = F.log2(both * float(total) / (entity * term))
+    return (information > 0) & (shared >= threshold * information) & (evidence(both, entity, term, total) >= math.log2(tested / chance))
+
+
+def disclosing(near: DataFrame, corpus: DataFrame, text_col: str, threshold: float, chance: float) -> DataFrame:
     """entity and term of the pairs at or above the threshold."""
     total = corpus.count()
-    joint = near.select("doc", "tk", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_docs)
-    joint = cut(joint)
+    joint = cut(near.select("doc", "tk", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")))
     if joint.isEmpty():
         return joint.select("entity", "term")
     alone = near.select("doc", "tk", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # over all documents; terms by hash, so that counting them is sums of numbers
-    used = corpus.select(F.explode(F.array_distinct(F.transform(_terms(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), lambda x: F.xxhash64(x)))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_term"))
+    used = cut(corpus.select(F.explode(F.array_distinct(F.transform(_terms(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), lambda x: F.xxhash64(x)))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_term")))
     pairs = joint.withColumn("h", F.xxhash64("term")).join(used, "h").join(alone, "entity")
-    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * float(total) / (F.col("n_entity") * F.col("n_term")))
-    return pairs.filter((information > 0) & (shared >= threshold * information)).select("entity", "term")
+    return pairs.filter(discloses(F.col("n_both"), F.col("n_entity"), F.col("n_term"), total, used.count(), threshold, chance)).select("entity", "term")
 
 
-def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", reach: int = 48, threshold: float = 0.9, min_docs: int = 3) -> DataFrame:
+def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", reach: int = 48, threshold: float = 0.9, chance: float = 0.05) -> DataFrame:
     """Adds spans of email, ip, card, phone and term, beside ``row``, the input's columns (all, or those to keep)."""
     keep = keep or df.columns
     every = entities(df, text_col)
@@ -167,7 +183,7 @@ def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", r
     slim = cut(every.select(F.struct(*(F.col("row")[c].alias(c) for c in keep)).alias("row"), *key, F.when(held, F.col("t")).alias("t"), *KINDS))
     found = slim.filter(F.col("t").isNotNull())
     near = cut(neighbours(found, reach))
-    pairs = disclosing(near, found, df, text_col, threshold, min_docs)
+    pairs = disclosing(near, df, text_col, threshold, chance)
     terms = near.join(pairs, ["entity", "term"]).groupBy("doc", "tk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
     out = slim.join(terms, ["doc", "tk"], "left")
     return out.select("row", *KINDS, F.coalesce("term", F.array().cast(SPANS)).alias("term"))

@@ -187,6 +187,20 @@ def test_disclosing_terms_are_found_beside_their_entity(spark):
     assert clean.select(pii.sanitise(F.col("text"), list(PII))).first()[0] == "x [EMAIL] y [IP]"
 
 
+def test_terms_of_rare_entities_are_judged_by_chance(spark):
+    def marked(rows):
+        texts = dict(rows)
+        found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()
+        return {r.row.doc_id: [texts[r.row.doc_id][s.start : s.end] for s in r.term] for r in found if r.term}
+
+    # many words stand in one document only: two documents tell, one does not
+    rich = [(k, f"w{k} and v{k} stand here, ask at noon of it") for k in range(600)] + [(1000 + k, f"ask Quillfeather at q@example.org of w{k}") for k in range(2)] + [(2000, "ask Zephyrine at z@example.org")]
+    assert marked(rich) == {1000: ["Quillfeather"], 1001: ["Quillfeather"]}
+    # nearly no word does: one document tells
+    poor = [(k, f"w{k % 20} and v{k % 15} stand here at noon") for k in range(2000)] + [(2000, "w1 and Zephyrine at z@example.org stand here")]
+    assert marked(poor) == {2000: ["Zephyrine"]}
+
+
 # 6
 
 
