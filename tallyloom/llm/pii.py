@@ -5,14 +5,15 @@ a term near an entity may tell which entity it is. How strongly is measured over
 the corpus: with p the share of documents, the pointwise mutual information
 log2(p(entity, term) / (p(entity) p(term))) never exceeds the entity's own
 information -log2 p(entity); a term whose ratio of the two reaches the threshold
-discloses the entity and is generalised or removed beside it, in documents that
-hold the entity. Joint counts are taken over the characters around each entity,
-term counts over all documents. There is no least number of documents: a pair
-counts if the term would hardly fall in so many of the entity's documents by
-chance. With q the term's share of documents and n_both of n_entity documents, that
-chance is at most 2^-(n_entity KL(n_both / n_entity || q)); times the number of
-terms in the corpus it must not pass ``chance``. So words that merely stand there
-once are left alone where such words are common, and not where they are rare.
+discloses the entity and is generalised or removed wherever it stands, in
+documents without the entity too. All counts are of documents, however far apart
+the two stand; what lies inside base entities is no term. There is no least
+number of documents: a pair counts if the term would hardly fall in so many of
+the entity's documents by chance. With q the term's share of documents and n_both
+of n_entity documents, that chance is at most
+2^-(n_entity KL(n_both / n_entity || q)); times the number of terms in the corpus
+it must not pass ``chance``. So words that merely stand there once are left alone
+where such words are common, and not where they are rare.
 
 Spans are in code points, end exclusive; spans of one kind do not overlap.
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import cut
+from .lines import sent
 
 #: Kind, pattern, and what a text must hold for it. Possessive parts and the look-behind change
 #: no match; they keep long runs of letters or digits from being tried at each of their places.
@@ -121,31 +123,46 @@ def listed(kind: Column, s: Column) -> Column:
     return F.transform(s, lambda x: F.concat_ws(":", kind, x["start"].cast("string"), x["end"].cast("string")))
 
 
-def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of df in ``row``, a key of the row, and a column of spans for each kind."""
+def _blanked(text: Column, s: Column) -> Column:
+    """The text with spaces in place of spans that do not overlap; places stay."""
+
+    def pieces(x: Column, i: Column) -> Column:
+        since = F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0)
+        return F.concat(F.substring(text, since + 1, x["start"] - since), F.repeat(F.lit(" "), x["end"] - x["start"]))
+
+    rest = F.substring(text, F.element_at(s, -1)["end"] + 1, F.length(text))
+    return F.when(F.size(s) > 0, F.concat(F.array_join(F.transform(s, pieces), ""), rest)).otherwise(text)
+
+
+def _value(text: Column):
+    """A hash of what an entity is, however it is written."""
+
+    def of(e: Column) -> Column:
+        found = _cut_out(text, e)
+        return F.xxhash64(e["kind"], F.when(e["kind"] == "email", F.lower(found)).when(e["kind"] == "ip", found).otherwise(digits(found)))
+
+    return of
+
+
+def entities(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """rid, a number of the row; ``row``, the columns to keep; a column of spans for each kind; values, hashes of the entities; m, the text with spaces in place of them."""
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), t.alias("t"))
-    return rows.select("row", "t", *(s.alias(k) for k, s in base(F.col("t")).items()))
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), t.alias("t"))
+    found = rows.select("rid", "row", "t", *(s.alias(k) for k, s in base(F.col("t")).items()))
+    each = F.concat(*(F.transform(k, _named(k)) for k in KINDS))
+    found = found.withColumn("values", F.array_distinct(F.transform(each, _value(F.col("t"))))).withColumnRenamed("t", "m")
+    for k in KINDS:  # spans of one kind do not overlap, those of several may
+        found = found.withColumn("m", _blanked(F.col("m"), F.col(k)))
+    return found
 
 
 def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x))
 
 
-def neighbours(found: DataFrame, reach: int) -> DataFrame:
-    """doc, tk, entity (a hash), term, start, end: the terms within reach characters of each entity, outside entities, not cut off by the reach."""
-    each = F.concat(*(F.transform(k, _named(k)) for k in KINDS))
-    one = found.select("doc", "tk", "t", F.explode(each).alias("e"))
-    begin = F.greatest(F.lit(0), F.col("e.start") - reach)
-    value = F.xxhash64("e.kind", F.when(F.col("e.kind") == "email", F.lower(_cut_out(F.col("t"), F.col("e")))).otherwise(F.when(F.col("e.kind") == "ip", _cut_out(F.col("t"), F.col("e"))).otherwise(digits(_cut_out(F.col("t"), F.col("e"))))))
-    sides = F.array(
-        F.struct(begin.alias("at"), F.substring("t", begin + 1, F.col("e.start") - begin).alias("s"), (begin > 0).alias("left"), F.lit(False).alias("right")),
-        F.struct(F.col("e.end").alias("at"), F.substring("t", F.col("e.end") + 1, F.lit(reach)).alias("s"), F.lit(False).alias("left"), (F.length("t") > F.col("e.end") + reach).alias("right")),
-    )
-    side = one.select("doc", "tk", value.alias("entity"), F.explode(sides).alias("c"))
-    words = side.select("doc", "tk", "entity", "c", F.explode(spans(F.col("c.s"), TERM)).alias("w"))
-    whole = ~(F.col("c.left") & (F.col("w.start") == 0)) & ~(F.col("c.right") & (F.col("w.end") == F.length("c.s")))
-    return words.filter(whole).select("doc", "tk", "entity", F.lower(_cut_out(F.col("c.s"), F.col("w"))).alias("term"), (F.col("c.at") + F.col("w.start")).alias("start"), (F.col("c.at") + F.col("w.end")).alias("end"))
+def _held(found: DataFrame) -> DataFrame:
+    """rid and h: the terms of each text, by hash."""
+    return found.select("rid", F.explode(F.array_distinct(F.transform(_terms(F.col("m")), lambda x: F.xxhash64(x)))).alias("h"))
 
 
 def evidence(both: Column, entity: Column, term: Column, total: int) -> Column:
@@ -161,31 +178,39 @@ def discloses(both: Column, entity: Column, term: Column, total: int, tested: in
     return (information > 0) & (shared >= threshold * information) & (evidence(both, entity, term, total) >= math.log2(tested / chance))
 
 
-def disclosing(near: DataFrame, corpus: DataFrame, text_col: str, threshold: float, chance: float) -> DataFrame:
-    """entity and term of the pairs at or above the threshold."""
-    total = corpus.count()
-    joint = cut(near.select("doc", "tk", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")))
-    if joint.isEmpty():
-        return joint.select("entity", "term")
-    alone = near.select("doc", "tk", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+def disclosing(found: DataFrame, threshold: float, chance: float) -> DataFrame | None:
+    """h, the hashes of terms that disclose an entity; None if there are none."""
+    named = found.filter(F.size("values") > 0).select("rid", F.explode("values").alias("entity"))
+    alone = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    most = alone.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return None
+    total = found.count()
     # over all documents; terms by hash, so that counting them is sums of numbers
-    used = cut(corpus.select(F.explode(F.array_distinct(F.transform(_terms(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), lambda x: F.xxhash64(x)))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_term")))
-    pairs = joint.withColumn("h", F.xxhash64("term")).join(used, "h").join(alone, "entity")
-    return pairs.filter(discloses(F.col("n_both"), F.col("n_entity"), F.col("n_term"), total, used.count(), threshold, chance)).select("entity", "term")
-
-
-def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", reach: int = 48, threshold: float = 0.9, chance: float = 0.05) -> DataFrame:
+    used = cut(_held(found).groupBy("h").agg(F.count(F.lit(1)).alias("n_term")))
+    tested = used.count()
+    # a term more frequent than any entity's information allows, or too rare for chance at its best, is in no pair
+    n = F.col("n_term")
+    able = (n <= 1.001 * most**threshold * float(total) ** (1 - threshold)) & (n * F.log2(float(total) / n) >= math.log2(tested / chance) - 0.001)
+    rare = cut(used.filter(able))
+    terms = sent(_held(found.filter(F.size("values") > 0)), rare, ["h"], "inner")
+    best = F.least("n_entity", "n_term")
+    both = terms.join(named.join(alone, "entity"), "rid").filter(discloses(best, F.col("n_entity"), F.col("n_term"), total, tested, threshold, chance))
+    pairs = both.groupBy("entity", "n_entity", "h", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    out = cut(pairs.filter(discloses(F.col("n_both"), F.col("n_entity"), F.col("n_term"), total, tested, threshold, chance)).select("h").distinct())
+    return None if out.isEmpty() else out
+
+
+def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", threshold: float = 0.9, chance: float = 0.05) -> DataFrame:
     """Adds spans of email, ip, card, phone and term, beside ``row``, the input's columns (all, or those to keep)."""
-    keep = keep or df.columns
-    every = entities(df, text_col)
-    held = F.greatest(*(F.size(k) for k in KINDS)) > 0
-    key = [F.xxhash64(F.struct(*(F.col("row")[c] for c in keep))).alias("doc"), F.xxhash64("t").alias("tk")]
-    slim = cut(every.select(F.struct(*(F.col("row")[c].alias(c) for c in keep)).alias("row"), *key, F.when(held, F.col("t")).alias("t"), *KINDS))
-    found = slim.filter(F.col("t").isNotNull())
-    near = cut(neighbours(found, reach))
-    pairs = disclosing(near, df, text_col, threshold, chance)
-    terms = near.join(pairs, ["entity", "term"]).groupBy("doc", "tk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
-    out = slim.join(terms, ["doc", "tk"], "left")
+    found = cut(entities(df, keep or df.columns, text_col))
+    telling = disclosing(found, threshold, chance)
+    if telling is None:
+        return found.select("row", *KINDS, F.array().cast(SPANS).alias("term"))
+    hits = sent(_held(found), telling, ["h"], "left_semi").groupBy("rid").agg(F.collect_list("h").alias("hs"))
+    marked = F.zip_with(spans(F.col("m"), TERM), _terms(F.col("m")), lambda s, x: F.when(F.array_contains("hs", F.xxhash64(x)), s))
+    terms = found.select("rid", "m").join(hits, "rid").select("rid", F.filter(marked, lambda s: s.isNotNull()).alias("term"))
+    out = found.select("rid", "row", *KINDS).join(terms, "rid", "left")
     return out.select("row", *KINDS, F.coalesce("term", F.array().cast(SPANS)).alias("term"))
 
 

@@ -201,6 +201,17 @@ def test_terms_of_rare_entities_are_judged_by_chance(spark):
     assert marked(poor) == {2000: ["Zephyrine"]}
 
 
+def test_disclosing_terms_go_far_from_their_entity_and_without_it(spark):
+    far = "it was said that nothing else came of it " * 4
+    rows = [(k, f"w{k} and v{k} came of it, as was said") for k in range(400)]
+    rows += [(1000 + k, f"Marrowby came. {far} or m.m@example.org or m.m@example.org, {far} said MARROWBY's") for k in range(4)]
+    rows += [(1004, "it was said marrowby came, and marrowbys")]
+    texts = dict(rows)
+    got = {r.row.doc_id: [texts[r.row.doc_id][s.start : s.end] for s in r.term] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect() if r.term}
+    assert got.pop(1004) == ["marrowby"]
+    assert set(got) == {1000, 1001, 1002, 1003} and all("Marrowby" in x for x in got.values())
+
+
 # 6
 
 
