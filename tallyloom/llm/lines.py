@@ -152,8 +152,8 @@ def dropped(df: DataFrame, threshold: int = 1, min_chars: int = 24, min_edit_cha
     return out.groupBy("doc", "tk", "no").agg(F.min("near").alias("near"))
 
 
-def dedup(df: DataFrame, threshold: int = 1, min_chars: int = 24, min_edit_chars: int = 48, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_empty: bool = False) -> DataFrame:
-    """df with the dropped lines taken out of its text; with counts, also n_lines, n_equal and n_near; with drop_empty, without the rows that lost lines and have only lines under min_chars left."""
+def dedup(df: DataFrame, threshold: int = 1, min_chars: int = 24, min_edit_chars: int = 48, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_empty: bool = False, drop_wordless: bool = False) -> DataFrame:
+    """df with the dropped lines taken out of its text; with counts, also n_lines, n_equal and n_near; with drop_empty, without the rows that lost lines and have only lines under min_chars left; with drop_wordless, without those that lost lines and have no word left."""
     gone = dropped(df, threshold, min_chars, min_edit_chars, id_col, text_col)
     gone = gone.groupBy("doc", "tk").agg(F.collect_list("no").alias("no"), F.count_if(F.col("near")).alias("near"), F.count_if(~F.col("near")).alias("equal"))
     text = F.col(f"`{text_col}`")
@@ -166,6 +166,8 @@ def dedup(df: DataFrame, threshold: int = 1, min_chars: int = 24, min_edit_chars
     if drop_empty:
         long = F.exists(F.split(kept, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACE))) >= min_chars)
         joined = joined.filter(F.col("no").isNull() | long)
+    if drop_wordless:
+        joined = joined.filter(F.col("no").isNull() | kept.rlike(r"[^\x20\x09-\x0D]"))
     if counts:
         out += [F.coalesce(F.size(F.split(old, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f"n_{c}") for c in ("equal", "near"))]
     return joined.select(*out)

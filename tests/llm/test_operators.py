@@ -321,6 +321,13 @@ def test_lines_of_awkward_tables(docs, none):
     assert lines.dedup(docs, drop_empty=True).count() < docs.count()
 
 
+def test_documents_with_words_left_stay(spark):
+    shared = "this line stands in every document of the table"
+    df = spark.createDataFrame([(1, shared), (2, f"{shared}\nroses are red\nviolets blue"), (3, shared), (4, f"{shared}\n \t")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup(df, drop_wordless=True).collect()}
+    assert got == {1: shared, 2: "roses are red\nviolets blue"}
+
+
 # 9
 
 
