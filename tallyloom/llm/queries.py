@@ -58,11 +58,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(events)))
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+def op8_line_dedup(spark: SparkSession, sf_dir: str, min_chars: int = 24) -> DataFrame:
+    kept = lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=min_chars, counts=True)
     return kept.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal lines of any length go, but for empty ones."""
+    return op8_line_dedup(spark, sf_dir, min_chars=1)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(_read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -139,6 +144,8 @@ sha256(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE NOT equal AND
 UNION ALL SELECT doc_id, 0, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """
 
+OP8_ALL_SQL = OP8_SQL.replace("length(x) >= 24", "length(x) >= 1")
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
@@ -159,6 +166,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_dedup_all": op8_line_dedup_all,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_file": op10_token_file,
 }
@@ -167,5 +175,6 @@ ORACLES = {
     "op6_chat": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op8_line_dedup_all": OP8_ALL_SQL,
     "op9_near_duplicates": OP9_SQL,
 }
