@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from decimal import Decimal
@@ -9,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.values import exact_ratio
+from .functions.values import INT_MAX, INT_MIN, exact_ratio
 from .operators import terminals as T
 from .operators.predicates import Cmp, Eq, In, Predicate, condition, timestamp_range
 from .plans.query import EventQuery
@@ -38,9 +39,17 @@ HOUR = 3_600_000
 CUTOFF = 1705276800000  # 15 January 2024
 
 
+class Whole(str):
+    """A folder whose events are read without a time range."""
+
+
 def events(spark: SparkSession, sf_dir: str, start: int = FROM, end: int = TO, *predicates: Predicate) -> DataFrame:
     """The events table in the store's form. The time range is on the stored column, so it reaches the scan; kind has nulls, added is a field of no file."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").filter(timestamp_range("ts", start, end))
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if isinstance(sf_dir, Whole):
+        start, end = INT_MIN, INT_MAX
+    else:
+        raw = raw.filter(timestamp_range("ts", start, end))
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     out = raw.select(
         F.col("event_id").alias("_seq"),
@@ -355,3 +364,41 @@ def stream_ingest(spark, sf_dir):
     into(store, text_stream(spark, f"{own}/in"), "events", f"{own}/checkpoint").awaitTermination()
     into(store, text_stream(spark, f"{own}/in"), "events", f"{own}/replayed").awaitTermination()
     return store.table().withColumn("amount", text("amount")).drop("added")
+
+
+# the same over the whole table: no range but that of the table itself
+
+
+WHOLE_VIEW = VIEW[: VIEW.index("w AS")] + "w AS (SELECT * FROM e) "
+RANGED = re.compile(r"f([2-9]|10)_|s4_|p1_|l[23]_|v6_|a(?!9_)")
+
+
+def _whole(name: str):
+    f = QUERIES[name]
+    return lambda spark, sf_dir: f(spark, Whole(sf_dir))
+
+
+for _name in [n for n in QUERIES if RANGED.match(n)]:
+    QUERIES[f"{_name}_whole"] = _whole(_name)
+    if _name in ORACLES:
+        ORACLES[f"{_name}_whole"] = WHOLE_VIEW + ORACLES[_name].removeprefix(VIEW)
+
+
+def _histogram_whole(spark, sf_dir, bucket: int, *predicates: Predicate) -> DataFrame:
+    df = events(spark, Whole(sf_dir), FROM, TO, *predicates)
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    return T.histogram(df, T.named("ts"), 0 if first is None else first, -1 if last is None else last, bucket)
+
+
+WHOLE_HIST = "SELECT b AS start_ms, count(ts) AS count FROM (SELECT unnest(range((min(ts) // {0}) * {0}, max(ts) + 1, {0})) AS b FROM {1}) t LEFT JOIN (SELECT ts FROM {1}) x ON x.ts // {0} = b // {0} GROUP BY b"
+for _name, _bucket, _sql, _where in (("a9_histogram_whole", 6 * HOUR, "w", ()), ("a9_histogram_filtered_whole", 7 * HOUR + 13, "w WHERE even", (Eq("even", True),))):
+    QUERIES[_name] = lambda spark, sf_dir, b=_bucket, p=_where: _histogram_whole(spark, sf_dir, b, *p)
+    ORACLES[_name] = WHOLE_VIEW + WHOLE_HIST.format(_bucket, _sql)
+
+
+def s3_request_whole(spark, sf_dir):
+    return EventQuery.parse(EVENTS, "/events/topk", f"from={INT_MIN}&to={INT_MAX}&field=event_type&k=3&ge=user_id=10").frame(loaded(spark, sf_dir))
+
+
+QUERIES["s3_request_whole"] = s3_request_whole
+ORACLES["s3_request_whole"] = WHOLE_VIEW + ORACLES["s3_request"].removeprefix(VIEW)
