@@ -118,3 +118,17 @@ def test_pipeline(spark, table):
     want = {i: (len(x := enc.encode_ordinary(t)), sha(" ".join(map(str, x))), sha(t)) for i, t in docs.items()}
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()} == want
     assert 0 < len(want) < len(table)
+
+
+def test_turns_that_repeat_or_are_missing_stay(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 0, "assistant", "ho"), (1, None, "assistant", "late"), (1, 1, "user", "x"), (None, 0, "user", "nobody's"), (None, 0, "assistant", None), (2, 0, None, "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cols = "conv_id, n_turns, loss_chars, formatted_chars"
+    want = con.sql(f"SELECT {cols} FROM ({queries.OP6_SQL})").fetchall()
+    got = {r.conv_id: r for r in queries.op6_chat(spark, str(tmp_path)).collect()}
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in cols.split(", "))) for r in got.values())
+    assert got[1].turns_sha256 == sha("assistant\nho\nuser\nhi\nuser\nhi\nuser\nx\nassistant\nlate\n")
