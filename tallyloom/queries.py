@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.values import INT_MAX, INT_MIN, exact_ratio
 from .operators import terminals as T
 from .operators.predicates import Cmp, Eq, In, Predicate, condition, timestamp_range
-from .plans.query import EventQuery
+from .plans.query import EventQuery, few
 from .schema import Schema
 from .sources.store import EventStore, StoreOptions
 
@@ -193,8 +193,8 @@ def a5_variance(spark, sf_dir):
 
 @query("a5_variance_text")
 def a5_variance_text(spark, sf_dir):
-    """Exact population variances as text; at most 4096 groups come to the driver."""
-    rows = _stats(spark, sf_dir, T.StatRequest("user_id", var=True), T.StatRequest("amount", var=True), by="event_type").limit(T.MAX_GROUPS).collect()
+    """Exact population variances as text; more than 4096 groups are refused."""
+    rows = few(_stats(spark, sf_dir, T.StatRequest("user_id", var=True), T.StatRequest("amount", var=True), by="event_type"), T.MAX_GROUPS, "groups")
     out = [(r.key, exact_ratio(r.user_id_n * int(r.user_id_sum2) - int(r.user_id_sum) ** 2, r.user_id_n**2), exact_ratio(r.amount_n * int(r.amount_sum2) - int(r.amount_sum) ** 2, 10_000 * r.amount_n**2)) for r in rows]
     return spark.createDataFrame(out, "key string, user_id_var string, amount_var string")
 

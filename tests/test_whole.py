@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 from tallyloom import queries
+from tallyloom.errors import BadRequest
+from tallyloom.operators import terminals as T
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the tables are not here")
@@ -28,3 +30,9 @@ def test_against_sql(spark, name):
 
 def test_nothing_is_left_out(spark):
     assert queries.QUERIES["s4_scan_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count() > queries.QUERIES["s4_scan"](spark, SF).count()
+
+
+def test_too_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_GROUPS", 2)
+    with pytest.raises(BadRequest):
+        queries.QUERIES["a5_variance_text"](spark, SF)
