@@ -24,11 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut
+from ._util import cut, sent
 
 LAST = (1 << 63) - 1
-#: Sent to every task at most: so many numbers.
-SENT = 500_000
 SPACE = " \t\r\x0b\x0c"
 
 
@@ -121,11 +119,6 @@ def _parity(line: Column) -> Column:
     return F.aggregate(kinds, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
 
 
-def sent(df: DataFrame, on: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """df joined with a table of whole numbers: sent to every task if it is small, else both are dealt out by key."""
-    return df.join(F.broadcast(on) if on.limit(SENT + 1).count() <= SENT else on, keys, how)
-
-
 def dropped(df: DataFrame, threshold: int = 1, min_chars: int = 24, min_edit_chars: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, tk, no of the lines to drop, with near (true if an edit away from an earlier one)."""
     lines = _lines(df, id_col, text_col, min_chars)

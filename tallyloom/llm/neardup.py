@@ -14,17 +14,21 @@ two registers agree about as often as the sets' Jaccard similarity.
    A pair's similarity is estimated from its registers by maximum likelihood;
    pairs far below the threshold are dropped, the others are compared on their
    full sets. Links join to components.
-4. Members of one bucket that are still in different components are estimated
-   pair by pair, in blocks. What may be alike is joined into families, as a tree
-   of pairs and not all of them; a family's members are then compared on their
-   full sets across components, again in blocks, until they are connected. No
-   task holds more than two blocks, and each returns a tree at most.
-
-So a group of many copies costs a few rows a member, and no link is left out: two
-members of a bucket are compared, or connected through others. Null and empty
-texts, and texts without words, have empty sets and no links; a text of fewer
-than five words is one shingle. Of rows that share an id, the one whose set has
-the largest fingerprint counts; a null id is left out. Other columns are left out.
+4. In a bucket that still holds several components, the members outside its
+   largest one are compared by registers with all others across components, in
+   pairs of blocks. Where few pairs of two blocks may be alike, these pairs are
+   returned, no more than the blocks have members; else the members that take
+   part are, and the same two blocks are compared on full sets, which returns a
+   tree of links. No task holds more than two blocks.
+
+So a group of many copies costs a few rows a member. Two members of a bucket are
+compared, or connected through others; a link is missed only where two sets share
+no band or where their estimate falls ``SLACK`` short (five standard deviations).
+
+Null and empty texts, and texts without words, have empty sets and no links; a
+text of fewer than five words is one shingle. Every row is returned. Rows that
+share an id are one node: it has the links of all of them. A row without an id is
+linked with nothing, and its component is null. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -36,15 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, documents
+from ._util import cut, documents, sent
 from .components import components
 from ._words import Words, mix, text_slices, white_space_table, window_hashes
 
 TABLE = white_space_table(True)
 REGISTERS, ROWS = 256, 5
 BANDS = REGISTERS // ROWS
-#: Registers that an estimate reads.
-READ = 128
+#: How far below the threshold an estimate may fall.
+SLACK = 0.14
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 _U = np.uint64
 
@@ -166,23 +170,27 @@ def _likely(least: float):
             n = len(b)
             if not n:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(n, READ) for c in ("regs_a", "regs_b"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(n, REGISTERS) for c in ("regs_a", "regs_b"))
             nx, ny = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
             yield b.select(["a", "b"]).filter(pa.array(estimate(x, y, nx, ny) >= least))
 
     return run
 
 
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _alike(percent: int):
     """Pairs whose sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         for b in batches:
-            keep = []
-            for p, q in zip(b.column("set_a"), b.column("set_b")):
-                s, t = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (p, q))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            keep = [alike(*(np.frombuffer(v.as_buffer(), dtype=_U) for v in pair), percent) for pair in zip(b.column("set_a"), b.column("set_b"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -218,145 +226,177 @@ class Forest:
         return i != j
 
 
-def _connect(t: dict, least: float, alike) -> list[tuple[int, int]]:
-    """Pairs that connect components of a pair of blocks: across, likely by their registers, alike, and not connected yet. The likeliest come first."""
-    component, side = t["component"], t["side"]
-    if (component == component[0]).all():
-        return []
-    _, names = np.unique(component, return_inverse=True)
-    x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    agree = np.stack([(t["regs"][y] == t["regs"][i]).mean(axis=1) for i in x.tolist()])
-    # registers agree about as often as sets do; what is far above or below needs no estimate
-    open_ = (agree >= least - 0.1) & (names[x][:, None] != names[y][None, :])
-    if side[0] == 2:
-        open_ &= x[:, None] < y[None, :]
-    i, j = np.nonzero(open_)
-    how = agree[i, j]
-    i, j, n = x[i], y[j], t["n"].astype(float)
-    grey = how < least + 0.1
-    keep = ~grey
-    if grey.any():
-        p, q = i[grey], j[grey]
-        keep[grey] = estimate(t["regs"][p], t["regs"][q], n[p], n[q]) >= least
-    order = np.argsort(-how[keep], kind="stable")
-    forest, left, out = Forest(int(names.max()) + 1), len(np.unique(names)) - 1, []
-    for a, b in zip(i[keep][order].tolist(), j[keep][order].tolist()):
-        if forest.root(names[a]) != forest.root(names[b]) and alike(a, b):
-            forest.join(names[a], names[b])
-            out.append((a, b))
-            left -= 1
-            if not left:
-                break
-    return out
-
-
-def _blocks(least: float, percent: int | None):
-    """Rows sorted by group and pair of blocks to pairs that connect: by registers alone, or by full sets too if a percentage is given. One pair of blocks is held at a time."""
-
-    def settle(rows: list) -> pa.RecordBatch:
-        t = {c: np.array([r[c] for r in rows]) for c in ("id", "component", "side", "n")}
-        t["regs"] = np.frombuffer(b"".join(r["regs"] for r in rows), dtype="<u2").reshape(len(rows), READ)
+class Group:
+    """Two blocks of a bucket's members. Side 0 is compared with side 1; members of side 2 with each other."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.id, self.side, self.n = (np.array([r[c] for r in rows]) for c in ("id", "side", "n"))
+        self.component, self.names = np.unique([r["component"] for r in rows], return_inverse=True)
+        self.regs = np.frombuffer(b"".join(r["regs"] for r in rows), dtype="<u2").reshape(len(rows), REGISTERS)
+
+    def likely(self, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs across components that may be alike, and how often their registers agree."""
+        x, y = np.flatnonzero(self.side != 1), np.flatnonzero(self.side != 0)
+        none = np.empty(0, dtype=np.int64)
+        if len(self.component) < 2 or not len(x) or not len(y):
+            return none, none, none.astype(float)
+        agree = np.stack([(self.regs[y] == self.regs[i]).mean(axis=1) for i in x.tolist()])
+        # registers agree about as often as sets do; what is far above or below needs no estimate
+        open_ = (agree >= least - 0.1) & (self.names[x][:, None] != self.names[y][None, :])
+        if self.side[0] == 2:
+            open_ &= x[:, None] < y[None, :]
+        i, j = np.nonzero(open_)
+        how = agree[i, j]
+        i, j, n = x[i], y[j], self.n.astype(float)
+        grey = how < least + 0.1
+        keep = ~grey
+        if grey.any():
+            p, q = i[grey], j[grey]
+            keep[grey] = estimate(self.regs[p], self.regs[q], n[p], n[q]) >= least
+        return i[keep], j[keep], how[keep]
+
+    def links(self, least: float, percent: int) -> list[tuple[int, int]]:
+        """Ids of pairs that are alike by their full sets and connect the components, the likeliest first."""
+        i, j, how = self.likely(least)
+        order = np.argsort(-how, kind="stable")
+        sets = [np.frombuffer(r["set"], dtype=_U) for r in self.rows]
+        forest, left, out = Forest(len(self.component)), len(self.component) - 1, []
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            if forest.root(self.names[a]) != forest.root(self.names[b]) and alike(sets[a], sets[b], percent):
+                forest.join(self.names[a], self.names[b])
+                out.append((int(self.id[a]), int(self.id[b])))
+                left -= 1
+                if not left:
+                    break
+        return out
+
+
+def _groups(batches):
+    """Rows sorted by group to one list a group; one group is held at a time."""
+    now, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            key = (r["bucket"], r["p"], r["q"])
+            if key != now:
+                if rows:
+                    yield rows
+                now, rows = key, []
+            rows.append(r)
+    if rows:
+        yield rows
 
-        def alike(i, j):
-            if percent is None:
-                return True
-            s, u = (np.frombuffer(rows[k]["set"], dtype=_U) for k in (i, j))
-            both = len(np.intersect1d(s, u, assume_unique=True))
-            return 100 * both >= percent * (len(s) + len(u) - both)
 
-        found = _connect(t, least, alike)
-        a, b = (np.array([int(t["id"][p[k]]) for p in found], dtype=np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+def _screen(least: float):
+    """Of each group: the pairs that may be alike (``other`` is not null) if they are no more than its members, else the members in such pairs."""
 
     def run(batches):
-        now, rows = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                key = (r["bucket"], r["p"], r["q"])
-                if key != now:
-                    if rows:
-                        yield settle(rows)
-                    now, rows = key, []
-                rows.append(r)
-        if rows:
-            yield settle(rows)
+        for rows in _groups(batches):
+            g = Group(rows)
+            i, j, _ = g.likely(least)
+            if not len(i):
+                continue
+            if len(i) <= len(rows):
+                take, other = i, pa.array(g.id[j], pa.int64())
+            else:
+                take = np.unique(np.concatenate([i, j]))
+                other = pa.nulls(len(take), pa.int64())
+            cols = {c: pa.array([rows[k][c] for k in take.tolist()], kind) for c, kind in (("bucket", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("side", pa.int32()), ("component", pa.int64()), ("id", pa.int64()))}
+            yield pa.RecordBatch.from_pydict(cols | {"other": other})
 
     return run
 
 
-def _dealt(members: DataFrame, block: int) -> DataFrame:
-    """Members (bucket, size, id, component) to all pairs of their bucket's blocks; side is 0 or 1, or 2 in a pair of a block with itself."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = members.select("bucket", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return mine.select(
-        "bucket",
-        "id",
-        "component",
-        F.least("mine", "other").alias("p"),
-        F.greatest("mine", "other").alias("q"),
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """The buckets that hold more than one component, with their sizes."""
-    return members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket", "size")
+def _crowds(least: float, percent: int):
+    """Of each group: a tree of links that connects its components as far as they are alike."""
 
+    def run(batches):
+        for rows in _groups(batches):
+            if found := Group(rows).links(least, percent):
+                a, b = np.array(found, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-def _first(rows: DataFrame) -> DataFrame:
-    """One row for each id."""
-    return rows.groupBy("doc_id").agg(F.max(F.struct("print", "n", "regs")).alias("s")).select("doc_id", "s.*")
+    return run
 
 
-def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each id, a whole number: doc_id, n_shingles and component_id, the smallest id reachable over links."""
-    d = documents(df, id_col, text_col).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    least = percent / 100 - 0.2
-    sketches = cut(_first(d.mapInArrow(_sketch(shingle), "doc_id long, n long, print binary, regs binary")))
-    classes = cut(sketches.filter("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
-    light = classes.select("id", "n", F.substring("regs", 1, 2 * READ).alias("regs"))
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """Members (bucket, id, component) of buckets with several components to pairs of blocks (bucket, p, q), with their side.
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        one, two = (light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
-        return pairs.join(one, "a").join(two, "b").mapInArrow(_likely(least), "a long, b long")
+    Members of a bucket's largest component are in blocks of one kind, all others
+    in blocks of another: each of the others' blocks meets every block.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")).filter("size > top.n")
+    few, many = F.ceil((F.col("size") - F.col("top.n")) / block).cast("int"), F.ceil(F.col("top.n") / block).cast("int")
+    rows = members.join(sizes, "bucket").withColumns({"few": few, "many": many, "inner": F.col("component") == F.col("top.component")})
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("many")).otherwise(F.col("few"))).cast("int"))
+    mine, place = F.col("mine"), lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), side.alias("side"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    across = F.transform(each(F.col("many")), lambda j: place(mine, j, F.lit(0)))
+    apart = F.transform(each(F.col("few")), lambda o: place(F.least(mine, o), F.col("many") + F.greatest(mine, o), F.when(mine == o, 2).when(mine < o, 0).otherwise(1)))
+    meets = F.when(F.col("inner"), F.transform(each(F.col("few")), lambda i: place(i, mine, F.lit(1)))).otherwise(F.concat(across, apart))
+    return rows.select("bucket", "id", "component", F.explode(meets).alias("at")).select("bucket", "id", "component", "at.*")
+
+
+def _shared_ids(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id."""
+    several = sketches.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo < hi").select("doc_id")
+    at = sent(sketches.select("doc_id", "print"), several, ["doc_id"], "left_semi").join(classes.select("print", "id"), "print")
+    return at.join(at.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
+
+
+def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row, whose id is a whole number: doc_id, n_shingles and component_id, the smallest id reachable over links."""
+    d = documents(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    least = percent / 100 - SLACK
+    sketches = cut(d.mapInArrow(_sketch(shingle), "doc_id long, n long, print binary, regs binary"))
+    named = sketches.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = cut(named.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    light = classes.select("id", "print", "n", "regs")
+    parts_ = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        mine = classes.select("id", "print").join(ids, "id")
-        texts = d.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        return cut(texts.mapInArrow(_full(shingle), "id long, print binary, set binary").join(mine, ["id", "print"], "left_semi").dropDuplicates(["id"]))
+        mine = sent(classes.select("id", "print"), ids, ["id"], "left_semi")
+        texts = sent(d.select(F.col("doc_id").alias("id"), "text"), ids, ["id"], "left_semi")
+        return cut(texts.mapInArrow(_full(shingle), "id long, print binary, set binary").join(mine, ["id", "print"], "left_semi").dropDuplicates(["id", "print"]).drop("print"))
 
-    def compared(rows: DataFrame, percent_: int | None) -> DataFrame:
-        grouped = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        return grouped.mapInArrow(_blocks(least, percent_), "a long, b long")
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+        return cut(pairs.join(one, "a").join(two, "b").mapInArrow(_alike(percent), "a long, b long"))
 
+    def compared(rows: DataFrame, run, schema: str) -> DataFrame:
+        return rows.repartition(parts_, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, schema)
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     buckets = classes.select("id", "regs").mapInArrow(_bands, "id long, bucket long")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = cut(buckets.join(shared, "bucket"))
     # one member of each bucket, another one in every bucket: the first in an order that depends on it
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("one")).filter("size > 1")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "id", "size", F.col("one").bitwiseXOR(F.col("bucket")).alias("pick")))
-    picked = members.filter("id <> pick").select("id", "pick")
-    pairs = cut(likely(picked.select(F.greatest("id", "pick").alias("a"), F.least("id", "pick").alias("b")).distinct()))
-    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    links = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_alike(percent), "a long, b long"))
+    picks = members.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("one"))
+    picked = members.join(picks, "bucket").select("id", F.col("one").bitwiseXOR(F.col("bucket")).alias("pick")).filter("id <> pick")
+    one, two = (light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
+    pairs = picked.select(F.greatest("id", "pick").alias("a"), F.least("id", "pick").alias("b")).distinct().join(one, "a").join(two, "b")
+    pairs = cut(pairs.mapInArrow(_likely(least), "a long, b long"))
+    links = verified(pairs, full_sets(ends(pairs))).unionByName(_shared_ids(named, classes))
     parts = components(links)
-    # what the picks left apart: families of what may be alike, then full sets within them
+    # what the picks left apart
     apart = cut(members.filter("size > 2").select("bucket", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    maybe = cut(compared(_dealt(apart.join(_mixed(apart), "bucket"), block).join(light, "id"), None).distinct())
-    if not maybe.isEmpty():
+    rows = _dealt(apart, block).join(light.drop("print"), "id")
+    open_ = cut(compared(rows, _screen(least), "bucket long, p int, q int, side int, component long, id long, other long"))
+    if not open_.isEmpty():
+        pairs = open_.filter("other IS NOT NULL").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+        crowd = open_.filter("other IS NULL").drop("other")
+        sets = full_sets(ends(pairs).unionByName(crowd.select("id")).distinct())
+        more = cut(compared(crowd.join(light.drop("print"), "id").join(sets, "id"), _crowds(least, percent), "a long, b long"))
         tied = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
-        family = components(tied.unionByName(maybe)).select(F.col("node").alias("id"), F.col("component").alias("bucket"))
-        family = cut(family.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-        left = cut(family.join(_mixed(family), "bucket"))
-        rows = _dealt(left, block).join(light, "id").join(full_sets(left.select("id")), "id")
-        parts = components(tied.unionByName(cut(compared(rows, percent))))
-    own = classes.select("print", "n", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("print", "n", F.coalesce("component", "id").alias("component"))
-    return sketches.join(own, ["print", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        parts = components(tied.unionByName(verified(pairs, sets)).unionByName(more))
+    own = classes.select("print", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component"))
+    linked = sketches.join(own, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return linked.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of df without those linked to a smaller id; rows without an id stay."""
-    from .lines import sent
-
+    """The rows of df without those linked to a smaller id; rows without an id stay, and rows that share an id stay or go together."""
     linked = link(df, shingle, percent, id_col=id_col, text_col=text_col)
     later = cut(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)))
     return sent(df, later, [id_col], "left_anti")

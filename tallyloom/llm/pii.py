@@ -30,8 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut
-from .lines import sent
+from ._util import cut, sent
 
 #: Kind, pattern, and what a text must hold for it. Possessive parts and the look-behind change
 #: no match; they keep long runs of letters or digits from being tried at each of their places.

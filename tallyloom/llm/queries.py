@@ -80,7 +80,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = neardup.link(_read(spark, sf_dir, "documents"))
-    return linked.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return linked.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,14 +152,14 @@ UNION ALL SELECT doc_id, 0, 0, 0, sha256('') FROM documents WHERE text IS NULL
 OP8_ALL_SQL = OP8_SQL.replace("length(x) >= 24", "length(x) >= 1")
 
 OP9_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 75 * (x.n + y.n - common)),
-r AS (SELECT doc_id AS node, doc_id AS least FROM d UNION SELECT e.b, r.least FROM r JOIN e ON r.node = e.a WHERE r.least < e.b)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.least AS component_id, d.doc_id = c.least AS kept
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT node, min(least) AS least FROM r GROUP BY node) c ON d.doc_id = c.node
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT i, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT i, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+p AS (SELECT a.i AS a, b.i AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.i <> b.i GROUP BY ALL),
+e AS (SELECT DISTINCT f.doc_id AS a, g.doc_id AS b FROM p JOIN n x ON a = x.i JOIN n y ON b = y.i JOIN d f ON a = f.i JOIN d g ON b = g.i WHERE 100 * common >= 75 * (x.n + y.n - common) AND f.doc_id IS NOT NULL AND g.doc_id IS NOT NULL),
+r AS (SELECT DISTINCT doc_id AS node, doc_id AS least FROM d WHERE doc_id IS NOT NULL UNION SELECT e.b, r.least FROM r JOIN e ON r.node = e.a WHERE r.least < e.b)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.least AS component_id, coalesce(d.doc_id = c.least, true) AS kept
+FROM d LEFT JOIN n ON d.i = n.i LEFT JOIN (SELECT node, min(least) AS least FROM r GROUP BY node) c ON d.doc_id = c.node
 """
 
 QUERIES = {

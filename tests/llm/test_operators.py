@@ -331,32 +331,59 @@ def test_documents_with_words_left_stay(spark):
 # 9
 
 
-def test_near_duplicates(spark, docs, plain, none):
-    low = {i: [x.translate(LOW) for x in words(t)] for i, t in plain if i is not None}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in low.items()}
-    root = {i: i for i in sets}
+def classes_of(rows):
+    """n_shingles and component_id of each (doc_id, text), by brute force."""
+    sets = []
+    for _, t in rows:
+        w = [x.translate(LOW) for x in words(t)]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = {i: i for i, _ in rows if i is not None}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
+    for k, (i, _) in enumerate(rows):
+        for (j, _), t in zip(rows[:k], sets):
+            if None not in (i, j) and t and 100 * len(sets[k] & t) >= 75 * len(sets[k] | t):
+                x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    for block in (256, 4):
-        got = neardup.link(docs, block=block).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+    return [(i, len(t), None if i is None else find(i)) for (i, _), t in zip(rows, sets)]
+
+
+def test_near_duplicates(spark, docs, plain, none):
+    want = classes_of(plain)
+    for block in (512, 4):
+        assert bag(map(tuple, neardup.link(docs, block=block).collect())) == bag(want)
     kept = neardup.keep_first(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(find(i) == i for i in sets) + 1
+    assert kept.columns == docs.columns and kept.count() == sum(i == c for i, _, c in want)
     assert neardup.link(none).collect() == []
 
 
+@pytest.mark.parametrize("block", [3, 64])
+def test_a_large_family_whose_members_are_linked_through_others(spark, block):
+    import random
+
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(70)], []
+    for i in range(260):  # members drift apart: many pairs lie near the threshold on either side
+        near = list(base)
+        for _ in range(rng.randint(0, 9)):
+            near[rng.randrange(70)] = f"x{rng.randrange(9)}"
+        rows.append((1000 - i, " ".join(near)))
+    rows += [(rng.randrange(700, 1000), None), (None, rows[0][1]), (None, rows[0][1]), (None, None), (rows[3][0], "a b c d e f g h"), (5, "A b c d e f g h"), (rows[7][0], rows[8][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = classes_of(rows)
+    assert 5 < len({c for _, _, c in want}) < 250
+    assert bag(map(tuple, neardup.link(df, block=block).collect())) == bag(want)
+
+
 def test_rows_that_share_an_id(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (2, "a b c d e f")], "doc_id long, text string")
-    assert {r.doc_id for r in neardup.link(df).collect()} == {1, 2} and neardup.link(df).count() == 2
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (2, "a b c d e f"), (3, "x y z"), (3, "k l m"), (4, "k l m"), (None, "k l m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(map(tuple, neardup.link(df).collect())) == bag(classes_of(rows))
+    assert sorted(r.doc_id or 0 for r in neardup.keep_first(df).collect()) == [0, 1, 1, 1, 3, 3]
 
 
 def test_registers_merge_and_estimate():
@@ -371,8 +398,10 @@ def test_registers_merge_and_estimate():
         assert abs(neardup.estimate(r[:1], r[1:], np.array([float(len(u))]), np.array([float(len(v))]))[0] - true) < 0.12
 
 
-def test_components(spark):
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_components(spark, monkeypatch, crowd):
     links = [(5, 4), (4, 3), (3, 9), (20, 21), (30, 30), (41, 40), (42, 41), (43, 42), (44, 43), (40, 44)]
+    monkeypatch.setattr(components, "CROWD", crowd)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20, **{k: 40 for k in range(40, 45)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
