@@ -327,6 +327,7 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
     """
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")).filter("size > top.n")
+    sizes = cut(sizes)  # written, so that a join with a large bucket can be split
     few, many = F.ceil((F.col("size") - F.col("top.n")) / block).cast("int"), F.ceil(F.col("top.n") / block).cast("int")
     rows = members.join(sizes, "bucket").withColumns({"few": few, "many": many, "inner": F.col("component") == F.col("top.component")})
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("many")).otherwise(F.col("few"))).cast("int"))
@@ -356,9 +357,9 @@ def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 512, i
     parts_ = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        mine = sent(classes.select("id", "print"), ids, ["id"], "left_semi")
+        mine = sent(light, ids, ["id"], "left_semi")
         texts = sent(d.select(F.col("doc_id").alias("id"), "text"), ids, ["id"], "left_semi")
-        return cut(texts.mapInArrow(_full(shingle), "id long, print binary, set binary").join(mine, ["id", "print"], "left_semi").dropDuplicates(["id", "print"]).drop("print"))
+        return cut(texts.mapInArrow(_full(shingle), "id long, print binary, set binary").join(mine, ["id", "print"]).groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "regs", "set"))))
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
@@ -369,10 +370,10 @@ def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 512, i
 
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     buckets = classes.select("id", "regs").mapInArrow(_bands, "id long, bucket long")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = cut(buckets.join(shared, "bucket"))
     # one member of each bucket, another one in every bucket: the first in an order that depends on it
-    picks = members.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("one"))
+    picks = cut(members.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("one")))
     picked = members.join(picks, "bucket").select("id", F.col("one").bitwiseXOR(F.col("bucket")).alias("pick")).filter("id <> pick")
     one, two = (light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
     pairs = picked.select(F.greatest("id", "pick").alias("a"), F.least("id", "pick").alias("b")).distinct().join(one, "a").join(two, "b")
@@ -387,7 +388,7 @@ def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 512, i
         pairs = open_.filter("other IS NOT NULL").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
         crowd = open_.filter("other IS NULL").drop("other")
         sets = full_sets(ends(pairs).unionByName(crowd.select("id")).distinct())
-        more = cut(compared(crowd.join(light.drop("print"), "id").join(sets, "id"), _crowds(least, percent), "a long, b long"))
+        more = cut(compared(crowd.join(sets, "id"), _crowds(least, percent), "a long, b long"))
         tied = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
         parts = components(tied.unionByName(verified(pairs, sets)).unionByName(more))
     own = classes.select("print", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component"))
