@@ -3,10 +3,13 @@
 A text of at most ``chunk_chars`` characters is one chunk. A longer one is dealt
 out as chunks that overlap: each chunk is split into pre-tokens on its own, and
 neighbours are stitched at the first position of their overlap at which both
-have a pre-token boundary. From a common boundary on, both splits go on alike,
-as the pattern never looks back; so the pieces between such boundaries are
-encoded in parallel and their ids joined in order. Where an overlap has no
-common boundary (one endless word), the two chunks are one piece.
+have a pre-token boundary after a character that is no white space. From a common
+boundary on, both splits go on alike, as the pattern never looks back. It looks
+ahead only past white space (a run of it leaves its last character to the word
+that follows), so a piece that ends in other characters splits as it does in the
+whole text. The pieces are encoded in parallel and their ids joined in order.
+Where an overlap has no such boundary (one endless word, or nothing but white
+space), the two chunks are one piece.
 
 Null and empty texts have no ids; rows that repeat are each returned; a null id
 is kept; other columns are left out.
@@ -64,6 +67,10 @@ def cut_points(head: list[int], tail: list[int]) -> int | None:
     return min(common) if common else None
 
 
+def after_white_space(chunk: str, at: int) -> bool:
+    return at > 0 and chunk[at - 1].isspace()
+
+
 def _encode(path: str, pattern: str):
     def run(batches):
         enc = encoder(path, pattern)
@@ -111,6 +118,7 @@ def _edges(pattern: str, chunk: int, overlap: int):
             heads, tails = [], []
             for text, last in zip(b.column("text").to_pylist(), b.column("last").to_pylist()):
                 found = boundaries(text, pattern, last)
+                found = [p for p in found if not after_white_space(text, p)]
                 heads.append([p for p in found if p <= overlap])
                 tails.append([p - chunk for p in found if p >= chunk])
             yield pa.RecordBatch.from_arrays(

@@ -40,6 +40,36 @@ def test_bpe_of_repeated_rows_and_nothing(spark, none):
     assert bpe.digests(bpe.decode(bpe.encode(none, RANKS, P.PATTERN), RANKS)).collect() == []
 
 
+def pieces(text, chunk, overlap):
+    """What the stages of the operator make of one text, without a table between them."""
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "tk": pa.array([2], pa.int64()), "copies": pa.array([1], pa.int64()), "text": [text]})
+    cut = pa.Table.from_batches(bpe._edges(P.PATTERN, chunk, overlap)(bpe._chunks(chunk, overlap)([rows]))).to_pandas()
+    return bpe._stitch(chunk)(cut)["text"].tolist()
+
+
+def test_bpe_where_chunks_end_in_white_space():
+    import random
+
+    enc = bpe.encoder(RANKS, P.PATTERN)
+    rng = random.Random(11)
+    parts = ["\n\n", " ", "  ", "\t", "\n", "\r\n", " \n ", "\u00a0", "\u3000", "ab", "word", "'s", "12", "!?", "é", "😀", "don't"]
+
+    def same(text, chunk, overlap):
+        cut = pieces(text, chunk, overlap)
+        assert "".join(cut) == text
+        assert [x for p in cut for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text), (text, chunk)
+
+    for _ in range(1500):
+        same("".join(rng.choice(parts) for _ in range(rng.randint(1, 90))), rng.randint(20, 60), 16)
+    for gap in ("\n\n", "\n\n\n ", " \n\t ", "\r\n\r\n", " " * 40, "  x", "\x1c\x1d a", "\x85\x85b"):  # every place of the gap about a cut, at the sizes of production
+        for at in range(32768 - 12, 32768 + 12):
+            same("a" * 5 + " word" * ((at - 5) // 5) + "x" * ((at - 5) % 5) + gap + "more words follow here " * 200, 32768, 1024)
+        for at in range(32768 + 1024 - 12, 32768 + 1024 + 4):
+            same("a" * 5 + " word" * ((at - 5) // 5) + "x" * ((at - 5) % 5) + gap + "more words follow here " * 200, 32768, 1024)
+
+
 def test_stitching_where_nothing_resynchronises():
     assert bpe.cut_points([0, 3, 9], [4, 9]) == 9
     assert bpe.cut_points([0], [0]) is None
