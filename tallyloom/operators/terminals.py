@@ -11,12 +11,13 @@ from pyspark.sql import types as ST
 from pyspark.sql.window import Window
 
 from ..errors import BadRequest
-from ..schema import NUMERIC, SEQ, Field, Schema
+from ..schema import NUMERIC, SEQ, TEXTUAL, Field, Schema
 
 MAX_GROUPS = 4096
 MAX_BUCKETS = 4096
 MAX_DISTINCT = 1_000_000
 MAX_K = 4096
+MAX_VALUE_BYTES = 64 << 20
 INT_MIN = -(1 << 63)
 
 
@@ -39,19 +40,34 @@ def dense(rows: DataFrame, within: str) -> tuple[DataFrame, int]:
     return numbered.withColumn("n_", F.col("start_") + F.col("in_")).drop("part_", "in_", "start_", "pos_"), at
 
 
-#: Pages that end beyond are found by numbering rows, not by keeping the best of each task.
+#: Places of one part: rows of a part are numbered in one task.
+PART = 1 << 20
+#: Pages that end beyond are found by the sizes of parts, not by keeping the best of each task. Both ways give the same rows.
 DEEP = 100_000
 
 
+def part_of(seq: str) -> Column:
+    """The part of a place. It depends on the place alone, so every run deals rows out alike."""
+    return F.floor(F.col(seq) / PART).cast("long")
+
+
+def place_of(df: DataFrame, seq: str, sizes: list[tuple[int, int]], n: int) -> int | None:
+    """The place of row number n, from 0, in ingest order; None if there are fewer rows."""
+    for part, size in sizes:
+        if n < size:
+            return df.filter((F.col(seq) >= part * PART) & (F.col(seq) < (part + 1) * PART)).select(seq).orderBy(seq).offset(n).limit(1).first()[0]
+        n -= size
+    return None
+
+
 def rows(df: DataFrame, schema: Schema, select: list[str] | None = None, offset: int = 0, limit: int | None = None, seq: str = SEQ) -> DataFrame:
     """Rows in ingest order; columns in schema order, whatever the order or number of their names. The place stays as a column."""
     if offset + (limit or 0) > DEEP:
-        numbered, total = dense(df.repartitionByRange(seq).withColumn("part_", F.spark_partition_id()), seq)
-        if offset >= total:
-            out = df.limit(0)
-        else:
-            end = total if limit is None else offset + limit
-            out = numbered.filter((F.col("n_") >= offset) & (F.col("n_") < end)).orderBy(seq)
+        sizes = sorted(tuple(r) for r in df.groupBy(part_of(seq).alias("part")).count().collect())
+        first = place_of(df, seq, sizes, offset)
+        last = None if limit is None else place_of(df, seq, sizes, offset + limit - 1)
+        out = df.limit(0) if first is None else df.filter(F.col(seq) >= first).orderBy(seq)
+        out = out if last is None else out.filter(F.col(seq) <= last)
     else:
         out = df.orderBy(seq)
         out = out.offset(offset) if offset else out
@@ -94,6 +110,18 @@ def top_k(df: DataFrame, field: Field, k: int) -> DataFrame:
     return ranked(by, [F.desc("count"), *key_order(field, "value")], k)
 
 
+def check_distinct(df: DataFrame, field: Field) -> int:
+    """How many distinct values there are, null among them; an error if they are too many, or too long together."""
+    values = df.groupBy(key_text(field).alias("value")).agg(F.lit(1).alias("one"))
+    size = F.sum(F.octet_length("value")) if field.type in TEXTUAL else F.lit(0)
+    n, size = values.agg(F.count(F.lit(1)), size).first()
+    if n > MAX_DISTINCT:
+        raise BadRequest(f"more than {MAX_DISTINCT} distinct values")
+    if (size or 0) > MAX_VALUE_BYTES:
+        raise BadRequest(f"distinct values of more than {MAX_VALUE_BYTES} bytes")
+    return n
+
+
 def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """At most limit rows in an order, numbered from 1: one pass keeps the best of each task, then numbers those few."""
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -139,8 +167,17 @@ def ordered_sum(value: Column, seq: str = SEQ) -> Column:
     return F.aggregate(listed, F.lit(0.0), lambda a, e: a + e["x"])
 
 
+def unscaled(c: Column, scale: int) -> Column:
+    """A number of at most 19 digits without its point, as a whole number; one with more is an error, as its square has no room."""
+    if not scale:
+        return c.cast("decimal(19,0)")
+    if scale <= 17:  # the product keeps all digits
+        return (c.cast(f"decimal(19,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(19,0)")
+    return (c * F.lit(10**scale).cast("decimal(38,0)")).cast("decimal(19,0)")
+
+
 def moments(schema: Schema, requests: list[StatRequest], strict: bool = True, seq: str = SEQ) -> list[Column]:
-    """The aggregates that the requests need, named field.what: n, sum, sum2, min, max."""
+    """The aggregates that the requests need, named field.what: n, sum, sum2 (of numbers without their point), min, max."""
     out = []
     for r in requests:
         f = schema[r.field]
@@ -152,12 +189,13 @@ def moments(schema: Schema, requests: list[StatRequest], strict: bool = True, se
             total = (lambda x: ordered_sum(x, seq)) if strict else (lambda x: F.coalesce(F.sum(x), F.lit(0.0)))
             x, square = c, c * c
         else:
-            # unscaled whole numbers, so that sums are exact
-            x = (c * F.lit(10 ** (f.scale or 0)).cast("decimal(38,0)")).cast("decimal(38,0)") if f.scale else c.cast("decimal(38,0)")
-            square = (c.cast("decimal(19,0)") * c.cast("decimal(19,0)")).cast("decimal(38,0)") if f.type != "decimal" else (x * x).cast("decimal(38,0)")
-            total = lambda x: F.coalesce(F.sum(x), F.lit(0).cast("decimal(38,0)"))
+            # whole numbers, and decimals in their own scale, so that sums are exact and have 38 digits; squares are of unscaled numbers
+            x = c.cast(f"decimal(38,{f.scale or 0})")
+            small = unscaled(c, f.scale or 0)
+            square = (small * small).cast("decimal(38,0)")
+            total = lambda x, scale=0: F.coalesce(F.sum(x), F.lit(0).cast(f"decimal(38,{scale})"))
         if r.sum or r.var or r.stddev:
-            out.append(total(x).alias(f"{f.name}.sum"))
+            out.append((total(x, f.scale) if f.scale else total(x)).alias(f"{f.name}.sum"))
         if r.var or r.stddev:
             out.append(total(square).alias(f"{f.name}.sum2"))
         if r.min:
@@ -188,31 +226,42 @@ def quantile_index(p: Decimal, n: int) -> int:
     return n - 1 if p == 1 else int((p * n).to_integral_value(ROUND_FLOOR))
 
 
+#: So many rows are ranked by counting their values and adding up in one task.
+RANKED = 1_000_000
+
+
 def quantile(df: DataFrame, field: Field, p: Decimal) -> DataFrame:
     """The value at the level's place among the sorted values; no row if there is none.
 
-    Values are counted first, so memory and tasks are bounded by the number of
-    distinct values; ranks come from range partitions and their sizes.
+    Two approximate quantiles about the level are literal bounds; exact counts
+    below and between them tell where the place lies. The range between is
+    narrowed likewise until few rows, or values that are one as a float, are
+    left. No row is shuffled before that, and the bounds decide nothing but cost.
     """
     if field.type not in NUMERIC:
         raise BadRequest(f"field {field.name!r} is not numeric")
     c = named(field.name)
-    values = df.filter(c.isNotNull()).groupBy(key_text(field).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    values = values.select(F.col("k").cast(field.spark).alias("value"), "k", "n")
-    total = values.agg(F.sum("n")).first()[0]
+    rows = df.filter(c.isNotNull())
+    total = rows.count()
     if not total:
-        return values.select("value").limit(0)
-    place = quantile_index(p, total)
-    order = key_order(field, "value")
-    ranged = values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    sizes = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect())
-    for part, size in sizes:
-        if place < size:
+        return rows.select(c.alias("value")).limit(0)
+    place, x, level = quantile_index(p, total), c.cast("double"), float(p)  # as floats, values keep their order or become equal
+    while total > RANKED:
+        near = [max(0.0, level - 0.002), min(1.0, level + 0.002)]
+        lo, hi = rows.agg(F.percentile_approx(x, F.array(*map(F.lit, near)), F.lit(10_000))).first()[0]
+        ranges = [x < lo, x == lo, (x > lo) & (x < hi), (x == hi) & (x > lo), x > hi]
+        sizes = rows.agg(*map(F.count_if, ranges)).first()
+        for k, total in enumerate(sizes):
+            if place < total:
+                break
+            place -= total
+        rows, level = rows.filter(ranges[k]), place / total
+        if k in (1, 3):
             break
-        place -= size
-    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = ranged.filter(F.col("part") == part).withColumn("upto", F.sum("n").over(w))
-    return at.filter((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select("value")
+    order = key_order(field, "value")
+    values = rows.groupBy(key_text(field).alias("k")).agg(F.count(F.lit(1)).alias("n")).select(F.col("k").cast(field.spark).alias("value"), "n")
+    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return values.withColumn("upto", upto).filter((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select("value")
 
 
 def latest(df: DataFrame, schema: Schema, by: str, select: list[str] | None = None, seq: str = SEQ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import atexit
 import tempfile
 import uuid
 from decimal import Decimal
@@ -10,12 +10,14 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import StoreError
 from .functions.values import INT_MAX, INT_MIN, exact_ratio
 from .operators import terminals as T
 from .operators.predicates import Cmp, Eq, In, Predicate, condition, timestamp_range
 from .plans.query import EventQuery, few
+from .plans.service import handle
 from .schema import Schema
-from .sources.store import EventStore, StoreOptions
+from .sources.store import EventStore, Files, StoreOptions
 
 EVENTS = Schema.parse(
     {
@@ -39,16 +41,10 @@ HOUR = 3_600_000
 CUTOFF = 1705276800000  # 15 January 2024
 
 
-class Whole(str):
-    """A folder whose events are read without a time range."""
-
-
-def events(spark: SparkSession, sf_dir: str, start: int = FROM, end: int = TO, *predicates: Predicate) -> DataFrame:
-    """The events table in the store's form. The time range is on the stored column, so it reaches the scan; kind has nulls, added is a field of no file."""
+def events(spark: SparkSession, sf_dir: str, *predicates: Predicate, start: int = INT_MIN, end: int = INT_MAX) -> DataFrame:
+    """The whole events table in the store's form. A time range is on the stored column, so it reaches the scan; kind has nulls, added is a field of no file."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    if isinstance(sf_dir, Whole):
-        start, end = INT_MIN, INT_MAX
-    else:
+    if (start, end) != (INT_MIN, INT_MAX):
         raw = raw.filter(timestamp_range("ts", start, end))
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     out = raw.select(
@@ -65,13 +61,12 @@ def events(spark: SparkSession, sf_dir: str, start: int = FROM, end: int = TO, *
         "props",
         F.lit(None).cast("long").alias("added"),
     )
-    where = [p for p in predicates]
-    return out.filter(condition(EVENTS, start, end, where)) if where else out
+    return out.filter(condition(EVENTS, start, end, predicates)) if predicates else out
 
 
 VIEW = f"""WITH e AS (SELECT event_id AS seq, event_id // 2048 AS block, epoch_us(ts) // 1000 AS ts, event_id, user_id, event_type, nullif(event_type, 'error') AS kind, value,
 user_id % 2 = 0 AS even, CAST(value AS DECIMAL(18,2)) AS amount, props, CAST(NULL AS BIGINT) AS added FROM events),
-w AS (SELECT * FROM e WHERE ts BETWEEN {FROM} AND {TO}) """
+w AS (SELECT * FROM e) """
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,11 +89,12 @@ def text(c: str) -> Column:
 # filters
 
 
-def _counted(name: str, sql: str, *predicates: Predicate, start: int = FROM, end: int = TO) -> None:
-    query(name, f"SELECT count(*) AS count FROM {sql}")(lambda s, d: T.count(events(s, d, start, end, *predicates)))
+def _counted(name: str, sql: str, *predicates: Predicate, **span: int) -> None:
+    query(name, f"SELECT count(*) AS count FROM {sql}")(lambda s, d: T.count(events(s, d, *predicates, **span)))
 
 
-_counted("f1_time_range", "w")
+_counted("f1_time_range", f"w WHERE ts BETWEEN {FROM} AND {TO}", start=FROM, end=TO)
+_counted("f1_time_range_and_value", f"w WHERE ts BETWEEN {FROM} AND {TO} AND event_type = 'click'", Eq("event_type", "click"), start=FROM, end=TO)
 _counted("f1_empty_range", "e WHERE false", start=TO, end=FROM)
 _counted("f2_equality", "w WHERE event_type = 'click'", Eq("event_type", "click"))
 _counted("f2_decimal_equality", "w WHERE amount = 12.50", Eq("amount", Decimal("12.50")))
@@ -125,7 +121,7 @@ def s4_scan(spark, sf_dir):
 @query("p1_select", "SELECT seq AS _seq, user_id, kind FROM w WHERE even")
 def p1_select(spark, sf_dir):
     """Schema order, whatever the order of the names; the filter's column is not among them."""
-    return T.rows(events(spark, sf_dir, FROM, TO, Eq("even", True)), EVENTS, ["kind", "user_id", "kind"])
+    return T.rows(events(spark, sf_dir, Eq("even", True)), EVENTS, ["kind", "user_id", "kind"])
 
 
 @query("l2_limit", "SELECT seq AS _seq, event_id, ts FROM w ORDER BY seq LIMIT 100")
@@ -135,7 +131,7 @@ def l2_limit(spark, sf_dir):
 
 @query("l3_offset", "SELECT seq AS _seq, event_id, ts FROM w WHERE event_type = 'view' ORDER BY seq LIMIT 40 OFFSET 25")
 def l3_offset(spark, sf_dir):
-    return T.rows(events(spark, sf_dir, FROM, TO, Eq("event_type", "view")), EVENTS, ["ts", "event_id"], offset=25, limit=40)
+    return T.rows(events(spark, sf_dir, Eq("event_type", "view")), EVENTS, ["ts", "event_id"], offset=25, limit=40)
 
 
 @query("l3_offset_past_end", "SELECT seq AS _seq, event_id FROM w WHERE false")
@@ -148,14 +144,20 @@ def l3_offset_past_end(spark, sf_dir):
 
 @query("a1_count", "SELECT count(*) AS count FROM w WHERE event_type = 'purchase'")
 def a1_count(spark, sf_dir):
-    return T.count(events(spark, sf_dir, FROM, TO, Eq("event_type", "purchase")))
+    return T.count(events(spark, sf_dir, Eq("event_type", "purchase")))
 
 
 def _stats(spark, sf_dir, *requests, by=None, strict=True, where=()):
     """Statistics with plain column names and exact numbers as text."""
-    out = T.stats(events(spark, sf_dir, FROM, TO, *where), EVENTS, list(requests), by, strict)
-    cols = [F.col(f"`{c}`").cast("string").alias(c.replace(".", "_")) if t.startswith("decimal") else F.col(f"`{c}`").alias(c.replace(".", "_")) for c, t in out.dtypes]
-    return out.select(*cols)
+    out = T.stats(events(spark, sf_dir, *where), EVENTS, list(requests), by, strict)
+
+    def shown(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if name == "amount.sum":  # without its point
+            c = F.replace(c.cast("string"), F.lit("."), F.lit("")).cast("decimal(38,0)")
+        return (c.cast("string") if kind.startswith("decimal") else c).alias(name.replace(".", "_"))
+
+    return out.select(*(shown(*x) for x in out.dtypes))
 
 
 SUM2 = "CAST(sum(CAST({0} AS HUGEINT) * {0}) AS VARCHAR)"
@@ -191,7 +193,36 @@ def a5_variance(spark, sf_dir):
     return _stats(spark, sf_dir, T.StatRequest("user_id", var=True), by="event_type")
 
 
-@query("a5_variance_text")
+# a fraction in lowest terms: digits after the point as far as they end, else numerator/denominator
+VAR = """, s AS (SELECT event_type AS key, CAST(count(user_id) AS HUGEINT) AS n, sum(CAST(user_id AS HUGEINT)) AS s1, sum(CAST(user_id AS HUGEINT) * user_id) AS s2, CAST(count(a) AS HUGEINT) AS m, sum(a) AS a1, sum(a * a) AS a2 FROM (SELECT *, CAST(amount * 100 AS HUGEINT) AS a FROM w) GROUP BY event_type),
+q AS (SELECT key, 'u' AS f, n * s2 - s1 * s1 AS top, n * n AS bottom FROM s UNION ALL SELECT key, 'a', m * a2 - a1 * a1, 10000 * m * m FROM s),
+r AS (SELECT key, f, top // gcd(top, bottom) AS t, bottom // gcd(top, bottom) AS d FROM q),
+p AS (SELECT k, CAST('1' || repeat('0', CAST(k AS INTEGER)) AS HUGEINT) AS ten FROM range(1, 28) x(k)),
+v AS (SELECT key, f, CASE WHEN d = 1 THEN CAST(t AS VARCHAR) ELSE coalesce((SELECT min_by((t // d) || '.' || lpad(CAST((t % d) * ten // d AS VARCHAR), CAST(k AS INTEGER), '0'), k) FROM p WHERE ten % d = 0), t || '/' || d) END AS x FROM r)
+SELECT key, max(x) FILTER (f = 'u') AS user_id_var, max(x) FILTER (f = 'a') AS amount_var FROM v GROUP BY key"""
+FLOATS = "list_reduce(list_prepend(CAST(0 AS DOUBLE), list({0} ORDER BY seq)), lambda a, x: a + x)"
+FLOAT_VAR = f"SELECT {{0}} value_n, value_sum2 / value_n - (value_sum / value_n) * (value_sum / value_n) AS value_var, sqrt(value_sum2 / value_n - (value_sum / value_n) * (value_sum / value_n)) AS value_stddev FROM (SELECT {{0}} count(value) AS value_n, {FLOATS.format('value')} AS value_sum, {FLOATS.format('value * value')} AS value_sum2 FROM w {{1}})"
+
+
+def _float_variance(spark, sf_dir, by=None):
+    """Population variance and its root, from sums in ingest order."""
+    out = _stats(spark, sf_dir, T.StatRequest("value", var=True, stddev=True), by=by)
+    mean = F.col("value_sum") / F.col("value_n")
+    var = F.col("value_sum2") / F.col("value_n") - mean * mean
+    return out.select(*(["key"] if by else []), "value_n", var.alias("value_var"), F.sqrt(var).alias("value_stddev"))
+
+
+@query("a5_float_variance", FLOAT_VAR.format("", ""))
+def a5_float_variance(spark, sf_dir):
+    return _float_variance(spark, sf_dir)
+
+
+@query("a5_float_variance_by_type", FLOAT_VAR.format("key,", "GROUP BY event_type").replace("SELECT key, count", "SELECT event_type AS key, count"))
+def a5_float_variance_by_type(spark, sf_dir):
+    return _float_variance(spark, sf_dir, "event_type")
+
+
+@query("a5_variance_text", VAR)
 def a5_variance_text(spark, sf_dir):
     """Exact population variances as text; more than 4096 groups are refused."""
     rows = few(_stats(spark, sf_dir, T.StatRequest("user_id", var=True), T.StatRequest("amount", var=True), by="event_type"), T.MAX_GROUPS, "groups")
@@ -250,17 +281,24 @@ def a8_quantile_1(spark, sf_dir):
     return T.quantile(events(spark, sf_dir), EVENTS["ts"], Decimal(1))
 
 
-HIST = "SELECT b AS start_ms, count(ts) AS count FROM range(({0} // {2}) * {2}, {1} + 1, {2}) t(b) LEFT JOIN (SELECT ts FROM {3}) x ON x.ts // {2} = b // {2} GROUP BY b"
+# the range is that of the rows
+HIST = "SELECT b AS start_ms, count(ts) AS count FROM (SELECT unnest(range((min(ts) // {0}) * {0}, max(ts) + 1, {0})) AS b FROM {1}) t LEFT JOIN (SELECT ts FROM {1}) x ON x.ts // {0} = b // {0} GROUP BY b"
 
 
-@query("a9_histogram", HIST.format(FROM, TO, 6 * HOUR, "w"))
+def _histogram(spark, sf_dir, bucket: int, *predicates: Predicate) -> DataFrame:
+    df = events(spark, sf_dir, *predicates)
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    return T.histogram(df, T.named("ts"), 0 if first is None else first, -1 if last is None else last, bucket)
+
+
+@query("a9_histogram", HIST.format(6 * HOUR, "w"))
 def a9_histogram(spark, sf_dir):
-    return T.histogram(events(spark, sf_dir), T.named("ts"), FROM, TO, 6 * HOUR)
+    return _histogram(spark, sf_dir, 6 * HOUR)
 
 
-@query("a9_histogram_filtered", HIST.format(FROM + 1, TO - 1, 7 * HOUR + 13, f"w WHERE even AND ts BETWEEN {FROM + 1} AND {TO - 1}"))
+@query("a9_histogram_filtered", HIST.format(7 * HOUR + 13, "w WHERE even"))
 def a9_histogram_filtered(spark, sf_dir):
-    return T.histogram(events(spark, sf_dir, FROM + 1, TO - 1, Eq("even", True)), T.named("ts"), FROM + 1, TO - 1, 7 * HOUR + 13)
+    return _histogram(spark, sf_dir, 7 * HOUR + 13, Eq("even", True))
 
 
 @query("a10_grouped", "SELECT kind AS key, count(user_id) AS user_id_n, CAST(sum(user_id) AS VARCHAR) AS user_id_sum, min(user_id) AS user_id_min, max(user_id) AS user_id_max, count(amount) AS amount_n, CAST(CAST(sum(amount) * 100 AS HUGEINT) AS VARCHAR) AS amount_sum FROM w GROUP BY kind")
@@ -296,23 +334,43 @@ def v6_bucket_floor(spark, sf_dir):
 
 @query("w6_drop_blocks", f"SELECT seq AS _seq, block AS _block, ts FROM (SELECT *, max(ts) OVER (PARTITION BY block) AS latest FROM e) WHERE latest >= {CUTOFF}")
 def w6_drop_blocks(spark, sf_dir):
-    return T.keep_blocks(events(spark, sf_dir, 0, 1 << 50), EVENTS, CUTOFF).select("_seq", "_block", "ts")
+    return T.keep_blocks(events(spark, sf_dir), EVENTS, CUTOFF).select("_seq", "_block", "ts")
 
 
 # the store itself: events as JSON lines, parsed, written, read and asked
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir, 0, 1 << 50).orderBy("_seq")
+    # a number of partitions that is asked for is kept, so that parsing is spread
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = events(spark, sf_dir).repartitionByRange(parts, "_seq").sortWithinPartitions("_seq")
     quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
     parts = [F.concat(F.lit(f'"{c}":'), F.coalesce(v, F.lit("null"))) for c, v in (("ts", text("ts")), ("event_id", text("event_id")), ("user_id", text("user_id")), ("event_type", quoted("event_type")), ("value", text("value")), ("even", text("even")), ("amount", F.concat(F.lit('"'), text("amount"), F.lit('"'))), ("props", F.col("props")))]
     kind = F.when(F.col("kind").isNotNull(), F.concat(F.lit(',"kind":'), quoted("kind"))).otherwise(F.lit(""))
     return e.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), kind, F.lit("}")).alias("value"))
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, removed when the driver ends; a temporary one where that is unset and all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StoreError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.gettempdir()
+    files = Files(spark, f"{folder.rstrip('/')}/tallyloom-{uuid.uuid4().hex}")
+
+    def clean() -> None:
+        try:
+            files.remove("")
+        except Exception:  # the session may be gone by then
+            pass
+
+    atexit.register(clean)
+    return files.root
+
+
 def loaded(spark: SparkSession, sf_dir: str, block_rows: int = 2048) -> EventStore:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    store = EventStore.open(spark, f"{folder.rstrip('/')}/events-{uuid.uuid4().hex}", EVENTS, StoreOptions(block_rows=block_rows))
+    store = EventStore.open(spark, f"{shared(spark)}/events-{uuid.uuid4().hex}", EVENTS, StoreOptions(block_rows=block_rows))
     store.ingest(json_lines(spark, sf_dir))
     return store
 
@@ -348,57 +406,94 @@ def s9_store_stats(spark, sf_dir):
 @query("s3_request", "SELECT event_type AS value, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INTEGER) AS rank FROM w WHERE user_id >= 10 GROUP BY event_type ORDER BY rank LIMIT 3")
 def s3_request(spark, sf_dir):
     """A request as text, answered by a store."""
-    store = loaded(spark, sf_dir)
-    return EventQuery.parse(EVENTS, "/events/topk", f"from={FROM}&to={TO}&field=event_type&k=3&ge=user_id=10").frame(store)
+    return EventQuery.parse(EVENTS, "/events/topk", f"from={INT_MIN}&to={INT_MAX}&field=event_type&k=3&ge=user_id=10").frame(loaded(spark, sf_dir))
 
 
-@query("stream_ingest", STORED)
-def stream_ingest(spark, sf_dir):
-    """The same events by Structured Streaming, one file a batch, and replayed."""
-    from .streaming.ingest import into, text_stream
+@query("s3_posted_batches", "SELECT * FROM (VALUES (0, 201, 1), (1, 201, 3), (2, 400, 3), (3, 400, 3), (4, 400, 3), (5, 400, 3), (6, 201, 4)) t(step, status, stored)")
+def s3_posted_batches(spark, sf_dir):
+    """Bodies posted one after the other: a batch with a wrong event leaves the store as it was."""
+    store = EventStore.open(spark, f"{shared(spark)}/posted-{uuid.uuid4().hex}", EVENTS)
+    bodies = ['{"ts":1}', '[{"ts":2},{"ts":3,"event_type":"click"}]', '[{"ts":4},{"event_type":"click"}]', "[]", '[[{"ts":5}]]', '{"ts":6,"amount":1}', ' [ {"ts":7} ] ']
+    out = [(k, handle(store, "POST", "/events", body.encode())[0], store.table().count()) for k, body in enumerate(bodies)]
+    return spark.createDataFrame(out, "step int, status int, stored int")
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    own = f"{folder}/stream-{uuid.uuid4().hex}"
-    json_lines(spark, sf_dir).coalesce(1).write.text(f"{own}/in")
-    store = EventStore.open(spark, f"{own}/store", EVENTS)
-    into(store, text_stream(spark, f"{own}/in"), "events", f"{own}/checkpoint").awaitTermination()
-    into(store, text_stream(spark, f"{own}/in"), "events", f"{own}/replayed").awaitTermination()
-    return store.table().withColumn("amount", text("amount")).drop("added")
 
+#: Requests that are refused before anything is read, and some that are not.
+REQUESTS = [
+    ("/events?from=0&to=9&select=", True), ("/events?from=0&to=9&select=nothing", True), ("/events?from=0&to=9&select=ts&k=3", True), ("/events?from=0&to=9&select=ts&select=ts", False),
+    ("/events?from=0", True), ("/events?from=x&to=9", True), ("/events?from=0&to=9&limit=0", True), ("/events?from=0&to=9&by=kind", True),
+    ("/events/count?from=0&to=9&eq=user_id=1.5", True), ("/events/count?from=0&to=9&eq=amount=1.234", True), ("/events/count?from=0&to=9&eq=amount=.5", False), ("/events/count?from=0&to=9&eq=even=yes", True), ("/events/count?from=0&to=9&gt=event_type=a", True), ("/events/count?from=0&to=9&in=kind=", True),
+    ("/events/quantile?from=0&to=9&field=value&p=1.1", True), ("/events/quantile?from=0&to=9&field=event_type&p=0.5", True), ("/events/topk?from=0&to=9&field=kind&k=4097", True), ("/events/stats?from=0&to=9", True), ("/events/stats?from=0&to=9&sum=user_id&by=value", True), ("/events/histogram?from=0&to=99999&bucket_ms=1", True),
+]
 
-# the same over the whole table: no range but that of the table itself
 
+@query("p2_refused_requests", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {str(x).lower()})" for r, x in REQUESTS) + ") t(request, refused)")
+def p2_refused_requests(spark, sf_dir):
+    store = EventStore.open(spark, f"{shared(spark)}/empty-{uuid.uuid4().hex}", EVENTS)
+    return spark.createDataFrame([(r, handle(store, "GET", r)[0] == 400) for r, _ in REQUESTS], "request string, refused boolean")
 
-WHOLE_VIEW = VIEW[: VIEW.index("w AS")] + "w AS (SELECT * FROM e) "
-RANGED = re.compile(r"f([2-9]|10)_|s4_|p1_|l[23]_|v6_|a(?!9_)")
 
+DROPS = [('{"before_ms":2}', "application/json", False), ('{"before_ms":2.0}', "application/json", True), ('{"before_ms":"2"}', "application/json", True), ("[2]", "application/json", True), ("{}", "application/json", True), ('{"before_ms":2}', "text/plain", True), ('{"before_ms":9223372036854775808}', "application/json", True), ('{"before_ms":2}', "application/json; charset=utf-8", False)]
 
-def _whole(name: str):
-    f = QUERIES[name]
-    return lambda spark, sf_dir: f(spark, Whole(sf_dir))
 
+@query("w7_refused_drops", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(x).lower()})" for k, (_, _, x) in enumerate(DROPS)) + ") t(step, refused)")
+def w7_refused_drops(spark, sf_dir):
+    store = EventStore.open(spark, f"{shared(spark)}/empty-{uuid.uuid4().hex}", EVENTS)
+    return spark.createDataFrame([(k, handle(store, "POST", "/events/drop", b.encode(), t)[0] == 400) for k, (b, t, _) in enumerate(DROPS)], "step int, refused boolean")
 
-for _name in [n for n in QUERIES if RANGED.match(n)]:
-    QUERIES[f"{_name}_whole"] = _whole(_name)
-    if _name in ORACLES:
-        ORACLES[f"{_name}_whole"] = WHOLE_VIEW + ORACLES[_name].removeprefix(VIEW)
 
+@query("w5_schema_append", "SELECT count(*) AS rows, count(*) FILTER (event_id % 2 = 1) AS with_added, CAST(coalesce(sum(event_id) FILTER (event_id % 2 = 1), 0) AS BIGINT) AS added_sum FROM e")
+def w5_schema_append(spark, sf_dir):
+    """Half of the events under a schema without the last field, half under its successor: old files have nulls there."""
+    folder = f"{shared(spark)}/grown-{uuid.uuid4().hex}"
+    old = Schema.parse({"timestamp_field": "ts", "fields": [{"name": "ts", "type": "timestamp"}]})
+    new = Schema.parse({"timestamp_field": "ts", "fields": [{"name": "ts", "type": "timestamp"}, {"name": "added", "type": "int"}]})
+    e = events(spark, sf_dir)
+    EventStore.open(spark, folder, old).ingest(e.filter("event_id % 2 = 0").select(F.format_string('{"ts":%d}', "ts").alias("value")))
+    store = EventStore.open(spark, folder, new)
+    store.ingest(e.filter("event_id % 2 = 1").select(F.format_string('{"ts":%d,"added":%d}', "ts", "event_id").alias("value")))
+    return store.table().agg(F.count(F.lit(1)).alias("rows"), F.count("added").alias("with_added"), F.coalesce(F.sum("added"), F.lit(0)).alias("added_sum"))
 
-def _histogram_whole(spark, sf_dir, bucket: int, *predicates: Predicate) -> DataFrame:
-    df = events(spark, Whole(sf_dir), FROM, TO, *predicates)
-    first, last = df.agg(F.min("ts"), F.max("ts")).first()
-    return T.histogram(df, T.named("ts"), 0 if first is None else first, -1 if last is None else last, bucket)
 
+@query("z1_counts_by_commit", f"SELECT count(*) FILTER (ts BETWEEN {FROM} AND {TO}) AS inside, count(*) AS every FROM e")
+def z1_counts_by_commit(spark, sf_dir):
+    """Events in commits by week: those that a range holds whole are counted from the manifest, those beyond it are not opened."""
+    store = EventStore.open(spark, f"{shared(spark)}/weeks-{uuid.uuid4().hex}", Schema.parse({"timestamp_field": "ts", "fields": [{"name": "ts", "type": "timestamp"}]}))
+    e = events(spark, sf_dir)
+    week = F.floor((F.col("ts") - FROM) / (7 * 24 * HOUR))
+    for (w,) in sorted(e.select(week).distinct().collect()):
+        store.ingest(e.filter(week == w).select(F.format_string('{"ts":%d}', "ts").alias("value")))
+    count = lambda span: EventQuery.parse(store.schema, "/events/count", span).frame(store)
+    inside, every = count(f"from={FROM}&to={TO}"), count(f"from={INT_MIN}&to={INT_MAX}")
+    return inside.withColumnRenamed("count", "inside").crossJoin(F.broadcast(every.withColumnRenamed("count", "every")))  # one row each
 
-WHOLE_HIST = "SELECT b AS start_ms, count(ts) AS count FROM (SELECT unnest(range((min(ts) // {0}) * {0}, max(ts) + 1, {0})) AS b FROM {1}) t LEFT JOIN (SELECT ts FROM {1}) x ON x.ts // {0} = b // {0} GROUP BY b"
-for _name, _bucket, _sql, _where in (("a9_histogram_whole", 6 * HOUR, "w", ()), ("a9_histogram_filtered_whole", 7 * HOUR + 13, "w WHERE even", (Eq("even", True),))):
-    QUERIES[_name] = lambda spark, sf_dir, b=_bucket, p=_where: _histogram_whole(spark, sf_dir, b, *p)
-    ORACLES[_name] = WHOLE_VIEW + WHOLE_HIST.format(_bucket, _sql)
 
+@query("windowed_counts", f"SELECT ts // {24 * HOUR} * {24 * HOUR} AS start_ms, event_type, count(*) AS count FROM e GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    """A stream's counts by day and type, as batches leave them in a complete-mode sink."""
+    from .streaming.ingest import windowed
 
-def s3_request_whole(spark, sf_dir):
-    return EventQuery.parse(EVENTS, "/events/topk", f"from={INT_MIN}&to={INT_MAX}&field=event_type&k=3&ge=user_id=10").frame(loaded(spark, sf_dir))
+    own = f"{shared(spark)}/windows-{uuid.uuid4().hex}"
+    timed = events(spark, sf_dir).select(F.timestamp_millis("ts").alias("at"), "event_type")
+    timed.write.parquet(f"{own}/in")
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 4).parquet(f"{own}/in")
+    counts = windowed(stream, "at", "1 day", "40 days", "event_type").select(F.unix_millis("window.start").alias("start_ms"), "event_type", "count")
+
+    def latest(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{own}/out")
 
+    counts.writeStream.outputMode("complete").foreachBatch(latest).option("checkpointLocation", f"{own}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{own}/out")
 
-QUERIES["s3_request_whole"] = s3_request_whole
-ORACLES["s3_request_whole"] = WHOLE_VIEW + ORACLES["s3_request"].removeprefix(VIEW)
+
+@query("stream_ingest", STORED)
+def stream_ingest(spark, sf_dir):
+    """The same events by Structured Streaming, one file a batch, and replayed."""
+    from .streaming.ingest import into, text_stream
+
+    own = shared(spark)
+    json_lines(spark, sf_dir).coalesce(1).write.text(f"{own}/in")
+    store = EventStore.open(spark, f"{own}/store", EVENTS)
+    into(store, text_stream(spark, f"{own}/in"), "events", f"{own}/checkpoint").awaitTermination()
+    into(store, text_stream(spark, f"{own}/in"), "events", f"{own}/replayed").awaitTermination()
+    return store.table().withColumn("amount", text("amount")).drop("added")

@@ -3,35 +3,44 @@
 A directory holds ``schema.lock``, ``data/<commit>/`` folders of Parquet files
 and ``manifest/<version>.json`` files. The newest manifest names the commits that
 exist; whatever else lies in the directory was never committed and is ignored.
-A manifest is written under another name and renamed, so a writer that stops
-half-way leaves the store as it was, and two writers cannot both make the same
-version. Rows carry their place in ingest order, dense from 0, and their block.
+A manifest is made under its final name by a call that fails if the name exists,
+so two writers cannot both make the same version; one that a stopped writer left
+unfinished is passed over after ``UNFINISHED_S`` seconds. Rows carry their place
+in ingest order, dense from 0, and their block. Each commit's span of time is in
+the manifest, so a time range opens only the commits that meet it, and rows of
+commits that lie in it whole are counted without reading them.
 All file access goes through Spark's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BadRequest, Corrupt, StoreClosed, StoreError
 from ..functions.values import parse_event, split_batch
-from ..operators.terminals import dense, keep_blocks, named
+from ..operators.terminals import dense, keep_blocks, named, part_of
 from ..schema import BLOCK, SEQ, Schema
 
 
+#: A manifest without its end is one of a stopped writer after so many seconds.
+UNFINISHED_S = 60.0
+
+
 @dataclass(frozen=True)
 class StoreOptions:
-    """block_rows: rows of a block, which is dropped or kept as a whole. codec, bloom_fields: how Parquet is written."""
+    """block_rows: rows of a block, which is dropped or kept as a whole. segment_rows: rows of a file. codec, bloom_fields: how Parquet is written."""
 
     block_rows: int = 2048
-    segment_rows: int = 4_000_000
+    segment_rows: int = 1_000_000
     codec: str = "zstd"
     bloom_fields: tuple[str, ...] = ()
 
@@ -47,13 +56,14 @@ class Commit:
 
 @dataclass(frozen=True)
 class Manifest:
-    """What exists, the next row's place and block (never used twice), and the last batch of each stream."""
+    """What exists, the next row's place and block (never used twice), the last batch of each stream, and folders that no longer count but may still be read by who began before."""
 
     version: int = 0
     commits: tuple[Commit, ...] = ()
     next_seq: int = 0
     next_block: int = 0
     streams: tuple[tuple[str, int], ...] = ()
+    retired: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -80,6 +90,14 @@ class RewriteReport:
         return 1 - b / a if a else 0.0
 
 
+def finished(manifest: str) -> bool:
+    """Whether a manifest was written to its end."""
+    try:
+        return manifest.endswith("\n") or isinstance(json.loads(manifest), dict)
+    except ValueError:
+        return False
+
+
 class Files:
     """A folder in any file system that Spark knows."""
 
@@ -107,16 +125,29 @@ class Files:
             stream.close()
 
     def write_new(self, name: str, text: str) -> bool:
-        """False if the name exists already."""
-        own = self.path(f"_{uuid.uuid4().hex}")
-        stream = self.fs.create(own, True)
+        """False if the name exists already: of several writers one makes the file."""
+        at = self.path(name)
+        self.fs.mkdirs(at.getParent())
+        if self.fs.getScheme() == "file":  # Hadoop's local file system looks first and then makes
+            try:
+                with open(at.toUri().getPath(), "xb") as f:
+                    f.write(text.encode())
+                return True
+            except FileExistsError:
+                return False
+        try:
+            stream = self.fs.create(at, False)
+        except Py4JJavaError as e:
+            if self.fs.exists(at):
+                return False
+            raise StoreError(str(e)) from None
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.mkdirs(self.path(name).getParent())
-        if not self.fs.exists(self.path(name)) and self.fs.rename(own, self.path(name)):
-            return True
-        self.fs.delete(own, False)
-        return False
+        return True
+
+    def age(self, name: str) -> float:
+        """Seconds since the file was changed."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
 
     def remove(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
@@ -174,19 +205,34 @@ class EventStore:
     # manifest
 
     def _manifest(self) -> Manifest:
-        names = sorted(n for n in self.files.names("manifest") if n.endswith(".json"))
-        if not names:
-            return Manifest()
+        while True:
+            names = sorted(n for n in self.files.names("manifest") if n.endswith(".json"))
+            if not names:
+                return Manifest()
+            name, behind = f"manifest/{names[-1]}", 0
+            text = self.files.read(name)
+            while not finished(text) and self.files.age(name) > UNFINISHED_S:  # its writer stopped
+                behind += 1
+                if behind == len(names):
+                    return Manifest(int(names[-1].split(".")[0]))
+                name = f"manifest/{names[-1 - behind]}"
+                text = self.files.read(name)
+            if finished(text):
+                break
+            time.sleep(0.05)  # its writer is about to finish it
         try:
-            m = json.loads(self.files.read(f"manifest/{names[-1]}"))
-            return Manifest(m["version"], tuple(Commit(**c) for c in m["commits"]), m["next_seq"], m["next_block"], tuple(map(tuple, m["streams"])))
+            m = json.loads(text)
+            version = int(names[-1].split(".")[0])
+            return Manifest(version, tuple(Commit(**c) for c in m["commits"]), m["next_seq"], m["next_block"], tuple(map(tuple, m["streams"])), tuple(m.get("retired", ())))
         except (ValueError, KeyError, TypeError) as e:
-            raise Corrupt(f"manifest {names[-1]}: {e}") from None
+            raise Corrupt(f"{name}: {e}") from None
 
     def _publish(self, old: Manifest, **changes) -> bool:
-        """False if another writer made this version first."""
+        """False if another writer made this version first, or took this one for stopped."""
         new = replace(old, version=old.version + 1, **changes)
-        return self.files.write_new(f"manifest/{new.version:012d}.json", json.dumps(asdict(new)))
+        begun = time.time()
+        made = self.files.write_new(f"manifest/{new.version:012d}.json", json.dumps(asdict(new)) + "\n")
+        return made and (time.time() - begun < UNFINISHED_S or not self.files.exists(f"manifest/{new.version + 1:012d}.json"))
 
     def _check_open(self) -> None:
         if self.closed:
@@ -194,11 +240,27 @@ class EventStore:
 
     # reading
 
-    def table(self) -> DataFrame:
-        """All committed rows, with their place and block. Later fields are null in older files."""
+    def table(self, start: int | None = None, end: int | None = None) -> DataFrame:
+        """All committed rows, with their place and block. Later fields are null in older files. With a time range, only the commits that meet it are opened."""
         self._check_open()
         self.flush()
-        commits = self._manifest().commits
+        commits = [c for c in self._manifest().commits if (end is None or c.min_ts <= end) and (start is None or c.max_ts >= start)]
+        return self._read(commits)
+
+    def count_between(self, start: int, end: int) -> DataFrame:
+        """How many rows lie in a time range; commits that lie in it whole are not read."""
+        self._check_open()
+        self.flush()
+        commits = self._manifest().commits if start <= end else ()
+        inside = [c for c in commits if start <= c.min_ts and c.max_ts <= end]
+        part = [c for c in commits if c not in inside and c.min_ts <= end and c.max_ts >= start]
+        n = F.lit(sum(c.rows for c in inside)).cast("long")
+        if not part:
+            return self.spark.range(1).select(n.alias("count"))
+        t = named(self.schema.time_field)
+        return self._read(part).filter((t >= start) & (t <= end)).agg((F.count(F.lit(1)) + n).alias("count"))
+
+    def _read(self, commits: Iterable[Commit]) -> DataFrame:
         if not commits:
             return self.spark.createDataFrame([], self.schema.spark())
         return self.spark.read.schema(self.schema.spark()).parquet(*(f"{self.path_}/data/{c.name}" for c in commits))
@@ -324,8 +386,9 @@ class EventStore:
             self.files.remove(f"data/{name}")  # another writer was faster: number the rows anew
 
     def _write(self, rows: DataFrame, name: str, total: int) -> tuple[int, int]:
+        # several tasks write a commit of several files, and what comes before is never one task's
         parts = max(1, -(-total // self.options.segment_rows))
-        ordered = rows.repartitionByRange(parts, SEQ).sortWithinPartitions(SEQ) if parts > 1 else rows.coalesce(1).sortWithinPartitions(SEQ)
+        ordered = (rows.repartitionByRange(parts, SEQ) if parts > 1 else rows.repartition(1)).sortWithinPartitions(SEQ)
         writer = ordered.write.option("compression", self.options.codec)
         for f in self.options.bloom_fields:
             writer = writer.option(f"parquet.bloom.filter.enabled#{f}", "true")
@@ -336,7 +399,7 @@ class EventStore:
     # maintenance
 
     def drop_blocks_before(self, cutoff_ms: int) -> int:
-        """Remove the blocks whose latest row is before the cutoff; returns how many. A block is kept or dropped whole."""
+        """Remove the blocks whose latest row is before the cutoff; returns how many. A block is kept or dropped whole. Files go with the next call that drops, or by vacuum(): who began to read may end."""
         if isinstance(cutoff_ms, bool) or not isinstance(cutoff_ms, int) or not -(1 << 63) <= cutoff_ms < 1 << 63:
             raise BadRequest("the cutoff must be a 64-bit integer")
         self._check_open()
@@ -360,12 +423,24 @@ class EventStore:
             kept.append(Commit(name, n, blocks, *self._write(live, name, n)))
             old.append(c)
             dropped += c.blocks - blocks
-        if old and not self._publish(now, commits=tuple(kept)):
+        if not old:
+            return 0
+        if not self._publish(now, commits=tuple(kept), retired=tuple(c.name for c in old)):
             raise StoreError("another writer changed the store; nothing was dropped")
-        for c in old:
-            self.files.remove(f"data/{c.name}")
+        for name in now.retired:
+            self.files.remove(f"data/{name}")
         return dropped
 
+    def vacuum(self) -> int:
+        """Remove the files of dropped blocks; returns of how many commits."""
+        self._check_open()
+        now = self._manifest()
+        if now.retired and not self._publish(now, retired=()):
+            raise StoreError("another writer changed the store; nothing was removed")
+        for name in now.retired:
+            self.files.remove(f"data/{name}")
+        return len(now.retired)
+
     def rewrite_directory(self, destination: str, options: StoreOptions | None = None) -> RewriteReport:
         """All rows in ingest order into a new store; this one stays as it is."""
         self._check_open()
@@ -381,4 +456,4 @@ class EventStore:
 
 def renumbered(table: DataFrame) -> tuple[DataFrame, int]:
     """A table in ingest order, in parts that no task holds together."""
-    return dense(table.repartitionByRange(SEQ).withColumn("part_", F.spark_partition_id()), SEQ)
+    return dense(table.withColumn("part_", part_of(SEQ)), SEQ)

@@ -34,6 +34,6 @@ def text_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
 
 
-def windowed_counts(events: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
+def windowed(events: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
     """Rows by time window and keys of a stream, final once the watermark has passed."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("count"))

@@ -229,3 +229,132 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = EventQuery.parse(FULL, "/events/count", "from=0&to=9&ge=user_id=3").filtered(store).select("action")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts,0)" in plan and "GreaterThanOrEqual(user_id,3)" in plan
     assert "ReadSchema: struct<ts:bigint,user_id:bigint,action:string>" in plan
+
+
+TIMED = Schema.parse({"timestamp_field": "ts", "fields": [{"name": "ts", "type": "timestamp"}, {"name": "v", "type": "float"}, {"name": "n", "type": "int"}]})
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Three million rows in several files; v and n are permutations of 0 to 2,999,999 and a third of n is one value."""
+    path = str(tmp_path_factory.mktemp("many") / "t")
+    rows = spark.range(3_000_000).selectExpr("id AS _seq", "id AS ts", "cast((id * 1234577) % 3000000 as double) AS v", "if(id % 3 = 0, -5, (id * 7) % 3000000) AS n")
+    rows.repartition(7, "v").write.parquet(path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield spark.read.parquet(path)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("p", ["0", "0.37", "0.5", "0.9", "1"])
+def test_quantiles_of_many_rows(many, p):
+    from decimal import Decimal
+
+    from tallyloom.operators import terminals as T
+
+    place = T.quantile_index(Decimal(p), 3_000_000)
+    assert T.quantile(many, TIMED["v"], Decimal(p)).first()[0] == place
+    n = sorted(-5 if i % 3 == 0 else i * 7 % 3_000_000 for i in range(3_000_000))
+    assert T.quantile(many, TIMED["n"], Decimal(p)).first()[0] == n[place]
+
+
+def test_pages_of_many_rows(many):
+    from tallyloom.operators import terminals as T
+
+    assert [r._seq for r in T.rows(many, TIMED, offset=1_500_000, limit=3).collect()] == [1_500_000, 1_500_001, 1_500_002]
+    odd = many.filter("_seq % 2 = 1")
+    assert [r._seq for r in T.rows(odd, TIMED, offset=1_400_000, limit=2).collect()] == [2_800_001, 2_800_003]
+    assert T.rows(many, TIMED, offset=2_999_998).count() == 2 and T.rows(many, TIMED, offset=3_000_000).count() == 0
+    assert [r._seq for r in T.rows(many, TIMED, offset=2_999_999, limit=500).collect()] == [2_999_999]
+
+
+def test_renumbering_many_rows(many):
+    from tallyloom.sources.store import renumbered
+
+    numbered, total = renumbered(many.filter("_seq % 2 = 1"))
+    assert total == 1_500_000
+    assert numbered.filter("n_ <> (_seq - 1) / 2").count() == 0 and numbered.count() == total
+
+
+def test_sums_of_wide_decimals(spark, tmp_path):
+    schema = Schema.parse({"timestamp_field": "ts", "fields": [{"name": "ts", "type": "timestamp"}, {"name": "d", "type": "decimal", "scale": 8}]})
+    store = store_of(spark, tmp_path / "s", [{"ts": 1, "d": "1000000000000000000000000000"}, {"ts": 2, "d": "1000000000000000000000000000"}, {"ts": 3, "d": "-0.00000001"}], schema=schema)
+    assert ask(store, "/events/stats", WIDE + "&sum=d")["columns"]["d"]["sum"] == "1999999999999999999999999999.99999999"
+    assert ask(store, "/events/stats", "from=3&to=3&var=d&sum=d")["columns"]["d"] == {"sum": "-0.00000001", "var": "0"}
+    with pytest.raises(BadRequest):
+        ask(store, "/events/stats", WIDE + "&var=d")
+
+
+def test_too_many_or_too_long_values(spark, tmp_path, monkeypatch):
+    from tallyloom.operators import terminals as T
+
+    store = store_of(spark, tmp_path / "s", [{"ts": 1, "user_id": k, "action": "x" * k} for k in range(9)] + [{"ts": 2}])
+    monkeypatch.setattr(T, "MAX_DISTINCT", 9)
+    assert ask(store, "/events/distinct", WIDE + "&field=user_id") == {"count": 9}
+    with pytest.raises(BadRequest):  # null is a value here
+        ask(store, "/events/topk", WIDE + "&field=user_id&k=1")
+    monkeypatch.setattr(T, "MAX_DISTINCT", 8)
+    with pytest.raises(BadRequest):
+        ask(store, "/events/distinct", WIDE + "&field=user_id")
+    monkeypatch.setattr(T, "MAX_DISTINCT", 100)
+    monkeypatch.setattr(T, "MAX_VALUE_BYTES", 35)
+    for path, more in (("/events/distinct", ""), ("/events/topk", "&k=1")):
+        assert ask(store, path, "from=0&to=9&field=user_id" + more)
+        with pytest.raises(BadRequest):
+            ask(store, path, "from=0&to=9&field=action" + more)
+
+
+def test_a_range_opens_only_its_commits(spark, tmp_path):
+    store = store_of(spark, tmp_path / "s", [{"ts": t} for t in (100, 150)])
+    store.append_batch_durable(['{"ts":200}', '{"ts":300}'])
+    store.append_durable('{"ts":400}')
+    assert [len(store.table(*span).inputFiles()) for span in ((), (0, 99), (250, 260), (150, 200), (0, 1000))] == [3, 0, 1, 2, 3]
+    assert [ask(store, "/events/count", f"from={a}&to={b}")["count"] for a, b in ((0, 999), (120, 250), (150, 400), (401, 900), (9, 0), (300, 300))] == [5, 2, 4, 0, 0, 1]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store = store_of(spark, tmp_path / "s", [{"ts": 1}])
+    old = store._manifest()
+    store.append_durable('{"ts":2}')
+    assert not store._publish(old, next_seq=99) and store.table().count() == 2
+    # a writer that stopped half-way: its version is passed over, and never made again
+    torn = tmp_path / f"s/manifest/{old.version + 2:012d}.json"
+    torn.write_text('{"version"')
+    import os
+
+    os.utime(torn, (1, 1))
+    store.append_durable('{"ts":3}')
+    assert store.table().count() == 3 and store._manifest().version == old.version + 3
+
+
+def test_readers_keep_what_a_drop_removes(spark, tmp_path):
+    store = store_of(spark, tmp_path / "s", [{"ts": 1}])
+    store.append_durable('{"ts":5}')
+    before = store.table()
+    assert store.drop_blocks_before(3) == 1 and before.count() == 2 and store.table().count() == 1
+    assert store.vacuum() == 1 and store.vacuum() == 0 and store.table().count() == 1
+
+
+def test_requests_over_http(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tallyloom.plans.service import handle, server
+
+    store = store_of(spark, tmp_path / "s", [{"ts": 1}])
+    at = server(store)
+    threading.Thread(target=at.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{at.server_port}"
+    read = lambda x: json.loads(urllib.request.urlopen(x).read())
+    assert read(f"{url}/health") == {"status": "ok"}
+    assert read(urllib.request.Request(f"{url}/events", b'[{"ts":2},{"ts":3}]')) == {"ok": True, "count": 2}
+    assert read(f"{url}/events/count?from=2&to=9") == {"count": 2}
+    assert read(urllib.request.Request(f"{url}/events/drop", b'{"before_ms":2}', {"Content-Type": "application/json"})) == {"ok": True}
+    assert read(f"{url}/events?from=0&to=9&select=ts") == [{"ts": 2}, {"ts": 3}]
+    with pytest.raises(urllib.error.HTTPError):
+        read(f"{url}/events/count?from=2")
+    at.shutdown()
+    assert handle(store, "GET", "/nowhere")[0] == 404 and handle(store, "POST", "/health")[0] == 405
+    store.close()
+    assert handle(store, "GET", "/events/count?from=0&to=9")[0] == 503
