@@ -329,7 +329,7 @@ def test_lines_that_repeat_or_nearly_do(spark, threshold):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("no", F.lit(2))
     got = lines.dedup(df, threshold, 6, 10)
     assert got.columns == df.columns
-    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.hash("t").alias("h")).collect()}
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     last = 2**63 - 1
     seen = [(last if i is None else i, t, k, x.strip(" \t\r\x0b\x0c"), d) for d, (i, t) in enumerate(rows) for k, x in enumerate(t.split("\n") if t is not None else [])]
     seen = [s for s in seen if len(s[3]) >= 6]
@@ -345,6 +345,56 @@ def test_lines_that_repeat_or_nearly_do(spark, threshold):
     assert bag((r.doc_id, r.text) for r in got.collect()) == bag(want)
 
 
+def test_bit_parallel_distance(spark):
+    import random
+
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(600):
+        a = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.choice([0, 1])] = rng.choice(["", "a", "b", "é"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.characters(F.col("a")).alias("x"), lines.characters(F.col("b")).alias("y"))
+    for t in (1, 2, 3):
+        for r in df.withColumn("near", lines.within(F.col("x"), F.col("y"), t)).collect():
+            assert r.near == (edits(r.a, r.b) <= t), (r.a, r.b, t)
+
+
+def test_a_large_family_of_like_lines(spark, monkeypatch):
+    """More lines than CROWD share a segment, and seven parts; pairs stay linear, and what goes is what brute force says."""
+    import random
+
+    rng = random.Random(4)
+    text = "the same long line stands here again and again but for a few letters of it"
+    assert len(text) >= 48
+    family = set()
+    while len(family) < 160:
+        x = list(text)
+        for k in rng.sample(range(40, 48), rng.randint(0, 2)):
+            x[k] = rng.choice("qzj")
+        if rng.random() < 0.3:
+            x.insert(rng.randrange(40, 48), rng.choice("qzj"))
+        family.add("".join(x))
+    rows = [(k, x) for k, x in enumerate(rng.sample(sorted(family), len(family)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in lines.dedup(df, counts=True).collect() if r.n_near}
+    assert got == {i for i, x in rows if any(j < i and abs(len(x) - len(y)) <= 1 and edits(x, y) <= 1 for j, y in rows)}
+    found = lines.near_pairs(lines._lines(df, "doc_id", "text", 24), 1, 48)
+    assert found.count() <= 30 * len(rows) < len(rows) ** 2 / 4
+
+
+def test_lines_without_an_id_and_other_ids(spark):
+    same = [(None, f"line number {k} that stands here only once") for k in range(300)]
+    df = spark.createDataFrame(same + [(None, same[0][1] + "!"), (None, None)], "doc_id long, text string")
+    assert all(r.n_equal == 0 for r in lines.dedup(df, counts=True, min_edit_chars=10**6).collect())
+    assert lines._row(df, "doc_id", "text")[1]._jc.toString() == F.xxhash64(F.col("`text`")).alias("tk")._jc.toString()  # 64 bits
+    with pytest.raises(TypeError):
+        lines.dedup(df.withColumn("doc_id", F.lit("x")))
+
+
 def test_lines_of_awkward_tables(docs, none):
     assert lines.dedup(docs, counts=True).count() == docs.count()
     assert lines.dedup(none).collect() == []
