@@ -9,9 +9,12 @@ and the message it is about (``msg``, a number):
 * ``regenerate``: the message and all later ones are dropped, to be told anew;
 * ``delete``: the message is dropped.
 
-Each message is folded on its own, by conversation and message, so a
-conversation of any length is spread over tasks; what a regeneration drops is
-known from a running maximum over its conversation. A message is rendered as
+An event but for the last two makes its message where there is none, with its own
+role. Each message is folded on its own, by conversation and message, so a
+conversation of any length is spread over tasks. What a regeneration drops is
+known from a running maximum: within chunks of a conversation, and over the
+chunks' maxima. ``seq`` and ``msg`` are of any type that has an order; ``chunk`` is
+one that ascends with the message. A message is rendered as
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -54,29 +57,34 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
-def fold(events: DataFrame) -> DataFrame:
+#: Messages of one chunk, where messages are numbers.
+CHUNK = 4096
+
+
+def fold(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """conv_id, msg, role and text of the final messages of events (conv_id, seq, kind, msg, role, text)."""
-    e = events.filter("conv_id IS NOT NULL AND msg IS NOT NULL").select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "msg", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    here = e.groupBy("conv_id", "msg").agg(
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
-        F.max(F.when(F.col("kind") == "delete", F.col("seq"))).alias("gone"),
-        F.max(F.when(F.col("kind").isin("message", "edit"), F.struct("seq", "kind", "text"))).alias("base"),
-        F.max(F.when(F.col("kind") == "message", F.struct("seq", "kind", "text", "role"))).alias("opened"),
-        F.max(F.when(F.col("kind") == "delta", F.col("seq"))).alias("streamed"),
-    )
-    before = Window.partitionBy("conv_id").orderBy("msg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = here.withColumn("cut", F.greatest(F.max("again").over(before), F.col("gone")))
-    base = F.when(F.col("cut").isNull() | (F.col("base.seq") > F.col("cut")), F.col("base"))
-    kept = cut.select("conv_id", "msg", "cut", "opened.role", "streamed", base.alias("base"))
-    # a message that is only streamed begins with its first delta
-    since = F.greatest(F.col("cut"), F.col("base.seq"))
-    kept = kept.filter(F.col("base").isNotNull() | (F.col("streamed") > F.coalesce(since, F.col("streamed") - 1)))
-    streams = kept.filter(F.col("streamed") > F.coalesce(since, F.col("streamed") - 1)).select("conv_id", "msg", since.alias("since"))
-    deltas = e.filter("kind = 'delta'").join(streams, ["conv_id", "msg"]).filter(F.col("seq") > F.coalesce("since", F.col("seq") - 1))
-    tails = deltas.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "role"))).alias("d"))
-    tails = tails.select("conv_id", "msg", F.array_join(F.transform("d", lambda x: x["text"]), "").alias("tail"), F.get("d", F.lit(0))["role"].alias("first_role"))
-    out = kept.join(tails, ["conv_id", "msg"], "left")
-    return out.select("conv_id", "msg", F.coalesce("role", "first_role", F.lit("")).alias("role"), F.concat(F.coalesce("base.text", F.lit("")), F.coalesce("tail", F.lit(""))).alias("text"))
+    chunk = F.floor(F.col("msg") / CHUNK) if chunk is None else chunk
+    e = events.filter("conv_id IS NOT NULL AND msg IS NOT NULL").select("conv_id", chunk.alias("chunk"), "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "msg", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again")
+    here = e.groupBy("conv_id", "chunk", "msg").agg(again, F.max(F.when(F.col("kind") == "delete", F.col("seq"))).alias("gone"))
+    upto = Window.partitionBy("conv_id", "chunk").orderBy("msg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each chunk that regenerates
+    chunks = here.groupBy("conv_id", "chunk").agg(F.max("again").alias("most"))
+    chunks = chunks.withColumn("earlier", F.max("most").over(before)).filter("earlier IS NOT NULL").select("conv_id", "chunk", "earlier")
+    cuts = here.withColumn("upto", F.max("again").over(upto)).join(chunks, ["conv_id", "chunk"], "left")
+    cuts = cuts.select("conv_id", "msg", F.greatest("upto", "earlier", "gone").alias("cut")).filter("cut IS NOT NULL")
+    alive = e.filter("kind IN ('message', 'delta', 'edit')").drop("chunk").join(cuts, ["conv_id", "msg"], "left").filter("cut IS NULL OR seq > cut").drop("cut")
+    last = F.max(F.when(F.col("kind") != "delta", F.struct("seq", "kind", "text"))).alias("base")
+    told = F.max(F.when(F.col("kind") == "message", F.struct("seq", "kind", "text", "role"))).alias("told")
+    first = F.min(F.struct("seq", "kind", "text", "role")).alias("first")
+    kept = alive.groupBy("conv_id", "msg").agg(last, told, first, F.max(F.when(F.col("kind") == "delta", F.col("seq"))).alias("streamed"))
+    kept = kept.select("conv_id", "msg", "base", "streamed", F.coalesce("told.role", "first.role").alias("role"))
+    streams = kept.filter("streamed IS NOT NULL AND (base IS NULL OR streamed > base.seq)").select("conv_id", "msg", F.col("base.seq").alias("since"))
+    deltas = alive.filter("kind = 'delta'").join(streams, ["conv_id", "msg"]).filter("since IS NULL OR seq > since")
+    tails = deltas.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("d"))
+    tails = tails.select("conv_id", "msg", F.array_join(F.transform("d", lambda x: x["text"]), "").alias("tail"))
+    return kept.join(tails, ["conv_id", "msg"], "left").select("conv_id", "msg", "role", F.concat(F.coalesce("base.text", F.lit("")), F.coalesce("tail", F.lit(""))).alias("text"))
 
 
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:

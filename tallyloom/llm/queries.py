@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, lines, neardup, pii, quality, substring, tokenfile, toxicity
@@ -52,14 +52,41 @@ NO_ID = -(1 << 63)
 HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def chat_log(rows: DataFrame) -> DataFrame:
+    """The log that rows (conv_id, turn, role, text) may come from, in no order.
+
+    Each row is a message: streamed in two parts; or drafted and then edited; or
+    drafted, dropped by a regeneration and told anew. Rows that share a turn are
+    messages of their own, in the order of role and text hash, and so are equal
+    rows; rows without a turn come last.
+    """
+    rows = rows.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    copies = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    copies = copies.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    text, n = F.col("text"), F.length("text")
+    msg = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), "copy")
+    head, tail, draft = F.substring(text, 1, F.floor(n / 2).cast("int")), F.substring(text, F.floor(n / 2).cast("int") + 1, n), F.concat(F.reverse(text), F.lit("..."))
+    step = lambda k, kind, t: F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), t.alias("text"))
+    none = F.lit(None).cast("string")
+    logs = [
+        [("message", head), ("delta", tail)],
+        [("message", draft), ("delta", head), ("edit", head), ("delta", tail)],
+        [("delta", draft), ("edit", tail), ("regenerate", none), ("delta", head), ("delta", tail)],
+    ]
+    which = F.pmod(F.xxhash64("text", "turn"), F.lit(len(logs)))
+    steps = F.array().cast("array<struct<step:int,kind:string,text:string>>")
+    for k, log in enumerate(logs):
+        steps = F.when(which == k, F.array(*(step(i, *x) for i, x in enumerate(log)))).otherwise(steps)
+    events = copies.select("conv_id", msg.alias("msg"), "role", F.explode(steps).alias("s"))
+    return events.select("conv_id", F.struct("msg", F.col("s.step").alias("step")).alias("seq"), "s.kind", "msg", "role", "s.text")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's rows are the log: each opens a message in its place; rows that share a turn each open one, and rows without a turn come last."""
+    """The table's rows as a log of streams, edits and regenerations, folded, rendered and read back."""
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
-    tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    place = F.struct(F.col("turn").isNull().alias("late"), "turn", tie.alias("tie"))
-    events = rows.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv_id"), tie.alias("seq"), F.lit("message").alias("kind"), place.alias("msg"), "role", "text")
-    back = chat.read_back(chat.render(chat.fold(events)))
+    chunk = F.struct(F.col("msg.late"), F.floor(F.col("msg.turn") / chat.CHUNK).alias("part"))
+    back = chat.read_back(chat.render(chat.fold(chat_log(rows), chunk)))
     return back.withColumn("conv_id", F.nullif("conv_id", F.lit(NO_ID)))
 
 
