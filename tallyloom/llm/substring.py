@@ -8,14 +8,17 @@ one bucket, where its windows are sorted and told apart by their full words, and
 those that also start in a document of smaller id are reported. Only what was
 found travels back to the documents.
 
+A task holds one bucket's strings compressed, and opens them in passes by the
+minimisers' second hash.
+
 Before the shuffle each task does the same within a slice of its documents: a
 window that a smaller id has in the same slice is reported at once and does not
 travel. A passage that a third of all documents share thus costs its bucket one
 packed string a slice, not one a document.
 
 Null and empty texts have no words. A null id is later than any other id. Rows
-that share an id are not earlier copies of each other; each is returned. Other
-columns are left out.
+that share an id are not earlier copies of each other; each is returned. An id of
+another type is a TypeError. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import documents
+from ._util import cut, documents, sent
 from ._words import Words, mix, text_slices, white_space_table, window_hashes
 
 TABLE = white_space_table(False)
 LAST = np.iinfo(np.int64).max
-HEAD = np.dtype([("doc", "<i8"), ("tk", "<i4"), ("start", "<i4"), ("size", "<i4")])
+HEAD = np.dtype([("doc", "<i8"), ("tk", "<i8"), ("start", "<i4"), ("size", "<i4"), ("sub", "u1")])
+#: Text in a bucket, about, and packed strings that are open at a time: a bucket is settled in passes over parts of its minimisers.
+BUCKET_BYTES, PASS_BYTES = 16 << 20, 8 << 20
 
 
 def sliding_min(v: np.ndarray, n: int) -> np.ndarray:
@@ -91,12 +96,12 @@ def runs_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _batch(bucket, doc, tk, start, count, data) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(tk, pa.int32()), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(data, pa.binary())],
+        [pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(tk, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(data, pa.binary())],
         ["bucket", "doc", "tk", "start", "count", "data"],
     )
 
 
-SCHEMA = "bucket int, doc long, tk int, start int, count int, data binary"
+SCHEMA = "bucket int, doc long, tk long, start int, count int, data binary"
 
 
 def _found(doc, tk, start, count, spread: int) -> pa.RecordBatch:
@@ -136,29 +141,30 @@ def _pack(window: int, m: int, buckets: int):
                 new[1:] = (go[1:] != go[:-1] + 1) | (least[1:] != least[:-1]) | (own[go[1:]] != own[go[:-1]])
                 k = np.flatnonzero(new)
                 start, size = go[k], np.diff([*k, len(go)])
-                bucket = (mix(least[k]) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                start, size, bucket = start[order], size[order], bucket[order]
+                spread = mix(least[k])
+                bucket, sub = (spread % np.uint64(buckets)).astype(np.int32), (mix(spread) >> np.uint64(56)).astype(np.uint8)
+                order = np.lexsort((sub, bucket))
+                start, size, bucket, sub = start[order], size[order], bucket[order], sub[order]
                 lo = w.start[start]
                 length = (w.start + w.length)[start + size + window - 2] - lo + 1
                 ends = np.cumsum(length)
                 text = w.text[np.repeat(lo - (ends - length), length) + np.arange(int(ends[-1]))].tobytes()
                 head = np.empty(len(start), dtype=HEAD)
                 head["doc"], head["tk"] = ids[i:j][own[start]], keys[i:j][own[start]]
-                head["start"], head["size"] = start - w.first[own[start]], length
+                head["start"], head["size"], head["sub"] = start - w.first[own[start]], length, sub
                 cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
                 data = []
                 for a, z in zip(cuts[:-1], cuts[1:]):
                     body = b"".join(np.ascontiguousarray(head[f][a:z]).tobytes() for f in HEAD.names) + text[(ends[a] - length[a]) : ends[z - 1]]
                     data.append((z - a).to_bytes(4, "little") + squeeze.compress(body))
                 n = len(data)
-                yield _batch(bucket[cuts[:-1]], np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), data)
+                yield _batch(bucket[cuts[:-1]], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), data)
 
     return run
 
 
-def _settle(blobs: list[bytes], window: int, spread: int):
-    """All packed strings of one bucket: the windows that a smaller document has, too."""
+def _opened(blobs: list[bytes], lo: int, hi: int) -> tuple[np.ndarray, bytes]:
+    """Heads and text of the packed strings with sub-buckets from lo to hi, hi excluded; they are sorted by it."""
     import zstandard
 
     open_ = zstandard.ZstdDecompressor()
@@ -170,19 +176,32 @@ def _settle(blobs: list[bytes], window: int, spread: int):
         for f in HEAD.names:  # column by column
             head[f] = np.frombuffer(body, dtype=HEAD[f], count=n, offset=at)
             at += n * HEAD[f].itemsize
-        heads.append(head)
-        texts.append(body[at:])
-    head = np.concatenate(heads)
-    off = np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)])
-    w = Words(np.frombuffer(b"".join(texts), dtype=np.uint8), off, TABLE)
-    own = w.owner()
-    at = np.flatnonzero(own[: w.n - window + 1] == own[window - 1 :])
-    late = later_copies(w, at, window_hashes(w.hashes(), window)[at], head["doc"][own[at]], window)
-    if late.any():
-        start, count = runs_of(at[late])
-        # a run may go on into the next packed string of another place: windows lie inside one string, so it does not
-        h = head[own[start]]
-        yield _found(h["doc"], h["tk"], h["start"] + start - w.first[own[start]], count, spread)
+        a, z = np.searchsorted(head["sub"], [lo, hi])
+        before = int(head["size"][:a].sum())
+        heads.append(head[a:z])
+        texts.append(body[at + before : at + before + int(head["size"][a:z].sum())])
+    return np.concatenate(heads), b"".join(texts)
+
+
+def _settle(blobs: list[bytes], window: int, spread: int):
+    """All packed strings of one bucket: the windows that a smaller document has, too. Equal windows share a minimiser, and so a pass."""
+    import zstandard
+
+    passes = min(256, sum(zstandard.frame_content_size(x[4:]) for x in blobs) // PASS_BYTES + 1)
+    for k in range(passes):
+        head, text = _opened(blobs, 256 * k // passes, 256 * (k + 1) // passes)
+        off = np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)])
+        w = Words(np.frombuffer(text, dtype=np.uint8), off, TABLE)
+        if w.n < window:
+            continue
+        own = w.owner()
+        at = np.flatnonzero(own[: w.n - window + 1] == own[window - 1 :])
+        late = later_copies(w, at, window_hashes(w.hashes(), window)[at], head["doc"][own[at]], window)
+        if late.any():
+            start, count = runs_of(at[late])
+            # a run may go on into the next packed string of another place: windows lie inside one string, so it does not
+            h = head[own[start]]
+            yield _found(h["doc"], h["tk"], h["start"] + start - w.first[own[start]], count, spread)
 
 
 def _buckets(window: int, spread: int):
@@ -241,20 +260,24 @@ def _cover(window: int):
     return run
 
 
-def remove_repeats(df: DataFrame, window: int = 13, m: int = 2, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 13, m: int = 3, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept: each text without the words covered by a window that a document of smaller id has, too; words joined by one space.
 
-    The id is a whole number. ``buckets`` follows spark.sql.shuffle.partitions where it is not given.
+    The id is a whole number. ``buckets`` follows the bytes of the texts where it is not given.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 8 * parts
     d = documents(df, id_col, text_col)
     kind = d.schema["doc_id"].dataType
     if not isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise TypeError("the id must be a whole number")
+    if buckets is None:
+        buckets = min(1 << 30, (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, buckets // 16))
+    # the id tells rows apart, and where it repeats or is null, a hash of the text does; rows equal in both get equal results
+    several = d.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc")
-    keyed = d.select("doc_id", doc, F.hash("text").alias("tk"), "text")
+    tk = F.when(F.col("doc_id").isNull() | F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    keyed = sent(d, cut(several), ["doc_id"], "left").select("doc_id", doc, tk.alias("tk"), "text")
     packed = keyed.select("doc", "tk", "text").mapInArrow(_pack(window, m, buckets), SCHEMA)
     found = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(window, buckets), SCHEMA)
     spans = found.groupBy("doc", "tk").agg(F.collect_set(F.struct("start", "count")).alias("found"))
