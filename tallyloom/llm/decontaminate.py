@@ -232,7 +232,6 @@ def item_ids() -> F.Column:
 
 def decontaminate(df: DataFrame, bench: DataFrame, window: int = 10) -> DataFrame:
     """The rows of df whose text has no window of the benchmark, with all their columns."""
-    clash = {f.name for f in df.schema.fields}
-    name = next(x for x in ("row_", "row__", "row___") if x not in clash)
-    kept = contamination(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name), F.col("text").alias("text")), bench, window, id_col=name)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").alias("text"))  # so no name can clash
+    kept = contamination(rows, bench, window, id_col="row")
     return kept.filter(F.size("hits") == 0).select("doc_id.*")

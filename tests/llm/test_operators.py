@@ -95,6 +95,63 @@ def test_quality_counts(docs, plain):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_windows_whose_bits_clash_are_sorted_as_text(spark, docs, plain, monkeypatch):
+    """With few hash bits, or places for few words only, the counts stay the same."""
+    want = bag((r.row.doc_id, r.n_repeat_words) for r in quality.judge(docs, keep=["doc_id"]).collect())
+    for place in (2, 60):
+        monkeypatch.setattr(quality, "PLACE", place)
+        assert bag((r.row.doc_id, r.n_repeat_words) for r in quality.judge(docs, keep=["doc_id"]).collect()) == want
+
+
+def verdicts(rows):
+    """kept of each (lang, text), by brute force with numpy."""
+    import math
+
+    seen, spelled = [], [quality._spelled(x) for x in quality.CLASSES.values()]
+    for lang, t in rows:
+        t, w, n_of = t or "", words(t), Counter(t or "")
+        at = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if at[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        kinds = [sum(n_of[c] for c in x) for x in ("abcdefghijklmnopqrstuvwxyz", " \t\n\v\f\r", *spelled)]
+        common = quality.COMMON_WORDS.get(lang)
+        parts = [(kinds, len(t)), ([w.count(x) for x in common] if common else None, len(w))]
+        shares = [None if c is None else [x / max(n, 1) for x in [*c, max(0, n - sum(c))]] for c, n in parts]
+        seen.append((lang or "", failed, len(t) >= 200, shares))
+    medians = {}
+    for lang in {x[0] for x in seen}:
+        fair = [x[3] for x in seen if x[0] == lang and not x[1] and x[2]]
+        for k in (0, 1):
+            table = [[round(v, 4) for v in x[k]] for x in fair if x[k]]
+            middle = [float(np.median(c)) for c in zip(*table)] if table else None
+            medians[lang, k] = middle and [v / max(1e-9, sum(middle)) for v in middle]
+
+    def distance(p, q):
+        if p is None or q is None:
+            return 0.0
+        half = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum(half(a, (a + b) / 2) + half(b, (a + b) / 2) for a, b in zip(p, q)) / 2))
+
+    out = []
+    for lang, failed, long, shares in seen:
+        a, b = (distance(shares[k], medians[lang, k]) for k in (0, 1))
+        out.append((failed, not failed and not (long and (a > 0.35 or a > 0.18 and b > 0.25)), min(abs(a - 0.35), abs(a - 0.18), abs(b - 0.25))))
+    return out
+
+
+def test_quality_verdicts(spark):
+    rows = [(r.doc_id, r.lang, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.row.doc_id: (r.base_failed, r.kept) for r in quality.judge(df.repartition(7), keep=["doc_id"]).collect()}
+    want = {i: v for (i, _, _), v in zip(rows, verdicts([x[1:] for x in rows]))}
+    # distances within 1e-9 of a bound may fall on either side
+    assert all(got[i] == v[:2] for i, v in want.items() if v[2] > 1e-9) and len(got) == len(want)
+    assert sum(not f and not k for f, k in got.values()) > 5
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    own = [labels[i] for i, (f, k) in got.items() if not f and not k and i in labels]
+    assert own.count(0) > 10 * own.count(1)
+
+
 def test_quality_distance_rejects_odd_characters(spark, none):
     good = [(k, " ".join(f"the w{(k * 7 + j * j) % 97}x of" for j in range(60)), "en") for k in range(20)]
     odd = [(100, " ".join(f"the| w{j * j % 89}x| of|" for j in range(60)), "en"), (101, " ".join(f"THE W{j * j % 89}X!! OF!!" for j in range(60)), "en")]
@@ -168,6 +225,15 @@ def test_benchmark_windows(spark, docs, plain):
     assert decontaminate.contamination(docs.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_awkward_columns(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x A b-c d e f g h i j", "r"), (None, "x " * 300_000 + "a b c d e f g h i j", "r"), (2, None, "r"), (2, "clean", "r")], "doc_id long, text string, row string")
+    for name in ("row_", "row__", "row___", "hits", "matches", "n_words"):
+        docs = docs.withColumn(name, F.lit(7))
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    assert sorted(str(r.text) for r in decontaminate.decontaminate(docs, bench).collect()) == ["None", "clean"]
+
+
 def test_longest_matches(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x a b c d e f g h i j k l y a b c d e f g h i j")], "doc_id long, text string")
@@ -270,10 +336,39 @@ def test_events_fold_into_messages(spark):
     assert chat.read_back(chat.render(chat.fold(events.limit(0)))).collect() == []
 
 
+def told(log):
+    """The final messages of a log, event by event."""
+    out = {}
+    for conv, seq, kind, msg, role, text in sorted((e for e in log if e[0] is not None and e[3] is not None), key=lambda e: e[1]):
+        now, role, text, kind = out.setdefault(conv, {}), role or "", text or "", kind or "message"
+        if kind == "regenerate":
+            out[conv] = {m: x for m, x in now.items() if m < msg}
+        elif kind == "delete":
+            now.pop(msg, None)
+        elif kind == "message":
+            now[msg] = (role, text)
+        elif msg not in now:
+            now[msg] = (role, text)
+        else:
+            now[msg] = (now[msg][0], now[msg][1] + text if kind == "delta" else text)
+    return sorted((c, m, *x) for c, now in out.items() for m, x in now.items())
+
+
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_random_logs_fold_as_they_are_told(spark, chunk):
+    import random
+
+    rng = random.Random(6)
+    log = [(rng.choice([1, 2, 3, None]) if k % 50 == 0 else rng.randint(1, 40), k, rng.choice(["message", "delta", "delta", "edit", "regenerate", "delete", None]), rng.randint(0, 8), rng.choice(["user", "assistant", "tool", None]), rng.choice(["a", "bc", "", None, "d\n"])) for k in range(3000)]
+    shuffled = rng.sample(log, len(log))
+    events = spark.createDataFrame(shuffled, "conv_id long, seq long, kind string, msg long, role string, text string").repartition(5)
+    assert sorted(map(tuple, chat.fold(events, F.floor(F.col("msg") / chunk)).collect())) == told(log)
+
+
 # 7
 
 
-def test_later_copies_of_windows_go(docs, plain, none):
+def test_later_copies_of_windows_go(docs, plain, none, monkeypatch):
     order = lambda i: 2**63 - 1 if i is None else i
     first = {}
     for i, t in plain:
@@ -285,11 +380,37 @@ def test_later_copies_of_windows_go(docs, plain, none):
         w = words(t)
         gone = {k + j for k in range(len(w) - 4) if first[tuple(w[k : k + 5])] < order(i) for j in range(5)}
         want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    for buckets in (None, 2):
-        assert bag(tuple(r) for r in substring.remove_repeats(docs, window=5, m=2, buckets=buckets).collect()) == bag(want)
+    for buckets, m, size in ((None, 2, 8 << 20), (2, 3, 2000), (1, 2, 1)):
+        monkeypatch.setattr(substring, "PASS_BYTES", size)
+        assert bag(tuple(r) for r in substring.remove_repeats(docs, window=5, m=m, buckets=buckets).collect()) == bag(want)
     assert substring.remove_repeats(none).collect() == []
 
 
+def test_repeats_in_passes(texts):
+    """One bucket settled in one pass and in many: the same windows are reported."""
+    import pyarrow as pa
+
+    some = [t or "" for t in texts] * 2
+    rows = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(some)), pa.int64()), "tk": pa.array([0] * len(some), pa.int64()), "text": some})
+    blobs = [x.as_py() for k in (0, 40) for b in substring._pack(5, 2, 1)([rows.slice(k, 40)]) for x in b.column("data") if x.is_valid]
+
+    def reported(size):
+        old, substring.PASS_BYTES = substring.PASS_BYTES, size
+        try:
+            return {(d, s + k) for b in substring._settle(blobs, 5, 7) for d, s, c in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "count"))) for k in range(c)}
+        finally:
+            substring.PASS_BYTES = old
+
+    assert reported(1 << 30) == reported(1000) == reported(1) != set()
+
+
+def test_repeats_in_rows_that_share_an_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (1, f"{a} x"), (2, f"y {a} z"), (2, b), (2, b), (None, f"{b} q"), (None, a), (None, b)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=5, m=2)
+    assert bag(map(tuple, got.collect())) == bag([(1, 7, 0, a), (1, 8, 0, f"{a} x"), (2, 9, 7, "y z"), (2, 6, 0, b), (2, 6, 0, b), (None, 7, 6, "q"), (None, 7, 7, ""), (None, 6, 6, "")])
+
+
 def test_windows_whose_hashes_clash_are_told_apart(monkeypatch, spark):
     monkeypatch.setattr(substring, "window_hashes", lambda h, n: np.zeros(max(len(h) - n + 1, 0), dtype=np.uint64))
     w = _words.Words(np.frombuffer(b"a b c d a b x y a b c d", dtype=np.uint8), np.array([0, 7, 15, 23]), substring.TABLE)
