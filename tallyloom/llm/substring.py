@@ -263,16 +263,18 @@ def _cover(window: int):
 def remove_repeats(df: DataFrame, window: int = 13, m: int = 3, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept: each text without the words covered by a window that a document of smaller id has, too; words joined by one space.
 
-    The id is a whole number. ``buckets`` follows the bytes of the texts where it is not given.
+    The id is a whole number. ``buckets`` follows the bytes of the texts and spark.sql.shuffle.partitions where it is not given.
     """
     spark = df.sparkSession
     d = documents(df, id_col, text_col)
     kind = d.schema["doc_id"].dataType
     if not isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise TypeError("the id must be a whole number")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if buckets is None:
-        buckets = min(1 << 30, (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, buckets // 16))
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(1 << 30, max(4 * parts, size // BUCKET_BYTES))
+    parts = max(parts, min(100_000, buckets // 4))
     # the id tells rows apart, and where it repeats or is null, a hash of the text does; rows equal in both get equal results
     several = d.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc")
