@@ -357,6 +357,7 @@ def link(df: DataFrame, shingle: int = 5, percent: int = 75, block: int = 512, i
     parts_ = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def full_sets(ids: DataFrame) -> DataFrame:
+        ids = cut(ids)  # asked for four times
         mine = sent(light, ids, ["id"], "left_semi")
         texts = sent(d.select(F.col("doc_id").alias("id"), "text"), ids, ["id"], "left_semi")
         return cut(texts.mapInArrow(_full(shingle), "id long, print binary, set binary").join(mine, ["id", "print"]).groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "regs", "set"))))
