@@ -26,6 +26,9 @@ later than all others. All columns of the input stay, under their names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +50,17 @@ def _row(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("tk")]
 
 
+def _trimmed(line: Column) -> Column:
+    """The line without white space around it. Trimming a set of characters goes through the whole line, so only lines that need it are."""
+    padded = reduce(or_, (at(c) for c in SPACE for at in (line.startswith, line.endswith)))
+    return F.when(padded, F.trim(line, F.lit(SPACE))).otherwise(line)
+
+
 def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """doc, tk, no and line of the lines long enough; line is without white space around it."""
-    text = F.col(f"`{text_col}`")
-    d = df.select(*_row(df, id_col, text_col), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    return d.withColumn("line", F.trim(F.col("line"), F.lit(SPACE))).filter(F.length("line") >= min_chars)
+    # the row's hash is made before the text is split: beside the split it would be made anew for each line
+    d = df.select(*_row(df, id_col, text_col), F.col(f"`{text_col}`").alias("text_")).select("doc", "tk", F.posexplode(F.split("text_", "\n", -1)).alias("no", "line"))
+    return d.withColumn("line", _trimmed(F.col("line"))).filter(F.length("line") >= min_chars)
 
 
 def segment(n: Column, k: int, parts: int) -> tuple[Column, Column]:
@@ -234,7 +243,7 @@ def dedup(df: DataFrame, threshold: int = 1, min_chars: int = 24, min_edit_chars
     new = F.when(F.col("no").isNull(), old).otherwise(kept)
     out = [(new if c == text_col else F.col("row")[c]).alias(c) for c in df.columns]
     if drop_empty:
-        long = F.exists(F.split(kept, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACE))) >= min_chars)
+        long = F.exists(F.split(kept, "\n", -1), lambda x: F.length(_trimmed(x)) >= min_chars)
         joined = joined.filter(F.col("no").isNull() | long)
     if drop_wordless:
         joined = joined.filter(F.col("no").isNull() | kept.rlike(r"[^\x20\x09-\x0D]"))
