@@ -81,7 +81,7 @@ def _filed(line: Column, threshold: int) -> list[Column]:
 
 
 def _probes(line: Column, threshold: int, least: int) -> list[Column]:
-    """Keys of the segments that a line at most threshold shorter may share."""
+    """Keys of the segments that a line at most threshold shorter may share, but for those the line is filed under itself."""
     n, parts = F.length(line), threshold + 1
     keys = []
     for less in range(threshold + 1):
@@ -89,7 +89,7 @@ def _probes(line: Column, threshold: int, least: int) -> list[Column]:
         for k in range(parts):
             start, size = segment(m, k, parts)
             lo, hi = max(-k, less - (threshold - k)), min(k, less + (threshold - k))
-            keys += [F.when(m >= least, F.xxhash64(m, F.lit(k), F.substr(line, start + shift, size))) for shift in range(lo, hi + 1)]
+            keys += [F.when(m >= least, F.xxhash64(m, F.lit(k), F.substr(line, start + shift, size))) for shift in range(lo, hi + 1) if less or shift]
     return keys
 
 
@@ -134,7 +134,8 @@ def near_pairs(lines: DataFrame, threshold: int, min_edit_chars: int) -> DataFra
     sides = ((_filed(F.col("line"), threshold), 0), (_probes(F.col("line"), threshold, min_edit_chars), 1))
     every = F.array(*(F.struct(key.alias("key"), F.lit(side).alias("side")) for keys, side in sides for key in keys))
     keys = cut(own.select("h", F.explode(every).alias("k")).filter("k.key IS NOT NULL").select("h", "k.key", "k.side").distinct())
-    filed, asked = keys.filter("side = 0").select("key", F.col("h").alias("b")), keys.filter("side = 1").select("key", F.col("h").alias("a"))
+    # a line asks for what it is filed under, too
+    filed, asked = keys.filter("side = 0").select("key", F.col("h").alias("b")), keys.select("key", F.col("h").alias("a"))
     finer = []
     if threshold == 1:
         crowded = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"))
