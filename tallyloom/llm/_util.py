@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tallyloom-")
         shared_dir.own = folder
     return folder.rstrip("/")
@@ -39,10 +42,30 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+class _Made(threading.local):
+    """Folders of tables that this thread has written, in the order they were made."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+MADE = _Made()
+
+
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """cut, after which the tables that this thread wrote from place ``since`` on are removed but for the new one: nothing reads them any more."""
+    out = cut(df)
+    for path in MADE.paths[since:-1]:
+        remove(df.sparkSession, path)
+    del MADE.paths[since:-1]
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lost executors cost no recomputation beyond this point."""
     spark = df.sparkSession
     path = new_folder(spark)
+    MADE.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

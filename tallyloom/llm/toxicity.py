@@ -21,8 +21,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +104,11 @@ def matches(folded: str, automaton) -> list[tuple[int, float, str]]:
             spared.append((end - n + 1, end))
         else:
             found.append((end - n + 1, w, p))
-    return [(s, w, p) for s, w, p in found if not any(a <= s <= b for a, b in spared)]
+    if not spared:
+        return found
+    spared.sort()
+    starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+    return [(s, w, p) for s, w, p in found if not (k := bisect_right(starts, s)) or reach[k - 1] < s]
 
 
 MOST = 5
@@ -248,7 +254,7 @@ def _weigh(model: Model, keep: list[str], full: bool = False):
                 f = fold(text) if text else "  "
                 found = matches(f, a)
                 weight.append(sum(w for _, w, _ in found))
-                words.append(max(0, f.count(" ") - 1))
+                words.append(len(f.split()))
                 terms.append(sorted({p.strip() for _, _, p in found}))
             cols = [b.column(k) for k in keep] + [pa.array(weight, pa.float64()), pa.array(words, pa.int64())]
             names = [*keep, "weight", "n_words"]
