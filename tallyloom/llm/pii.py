@@ -5,8 +5,10 @@ a term near an entity may tell which entity it is. How strongly is measured over
 the corpus: with p the share of documents, the pointwise mutual information
 log2(p(entity, term) / (p(entity) p(term))) never exceeds the entity's own
 information -log2 p(entity); a term whose ratio of the two reaches the threshold
-discloses the entity and is generalised or removed wherever it stands, in
-documents without the entity too. All counts are of documents, however far apart
+discloses the entity and is generalised wherever it stands, in documents without
+the entity too: a number to its first digit and its length, a word to its form (a
+name, a code or a word). The classes go through the same test; where a class
+itself discloses, the term is removed. All counts are of documents, however far apart
 the two stand; what lies inside base entities is no term. There is no least
 number of documents: a pair counts if the term would hardly fall in so many of
 the entity's documents by chance. With q the term's share of documents and n_both
@@ -159,9 +161,19 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x))
 
 
-def _held(found: DataFrame) -> DataFrame:
-    """rid and h: the terms of each text, by hash."""
-    return found.select("rid", F.explode(F.array_distinct(F.transform(_terms(F.col("m")), lambda x: F.xxhash64(x)))).alias("h"))
+def _class(term: Column) -> Column:
+    """What a term is generalised to."""
+    number = F.when(F.length(term) > 1, F.concat(F.substring(term, 1, 1), F.repeat(F.lit("#"), F.length(term) - 1))).otherwise("#")
+    return F.when(term.rlike(r"^\p{N}+$"), number).when(term.rlike(r"\p{N}"), "[CODE]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
+def _classes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _class)
+
+
+def _held(found: DataFrame, words=_terms) -> DataFrame:
+    """rid and h: the terms of each text, or their classes, by hash."""
+    return found.select("rid", F.explode(F.array_distinct(F.transform(words(F.col("m")), lambda x: F.xxhash64(x)))).alias("h"))
 
 
 def evidence(both: Column, entity: Column, term: Column, total: int) -> Column:
@@ -177,8 +189,8 @@ def discloses(both: Column, entity: Column, term: Column, total: int, tested: in
     return (information > 0) & (shared >= threshold * information) & (evidence(both, entity, term, total) >= math.log2(tested / chance))
 
 
-def disclosing(found: DataFrame, threshold: float, chance: float) -> DataFrame | None:
-    """h, the hashes of terms that disclose an entity; None if there are none."""
+def disclosing(found: DataFrame, threshold: float, chance: float, words=_terms) -> DataFrame | None:
+    """h, the hashes of terms (or classes of them) that disclose an entity; None if there are none."""
     named = found.filter(F.size("values") > 0).select("rid", F.explode("values").alias("entity"))
     alone = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
     most = alone.agg(F.max("n_entity")).first()[0]
@@ -186,13 +198,13 @@ def disclosing(found: DataFrame, threshold: float, chance: float) -> DataFrame |
         return None
     total = found.count()
     # over all documents; terms by hash, so that counting them is sums of numbers
-    used = cut(_held(found).groupBy("h").agg(F.count(F.lit(1)).alias("n_term")))
+    used = cut(_held(found, words).groupBy("h").agg(F.count(F.lit(1)).alias("n_term")))
     tested = used.count()
     # a term more frequent than any entity's information allows, or too rare for chance at its best, is in no pair
     n = F.col("n_term")
     able = (n <= 1.001 * most**threshold * float(total) ** (1 - threshold)) & (n * F.log2(float(total) / n) >= math.log2(tested / chance) - 0.001)
     rare = cut(used.filter(able))
-    terms = sent(_held(found.filter(F.size("values") > 0)), rare, ["h"], "inner")
+    terms = sent(_held(found.filter(F.size("values") > 0), words), rare, ["h"], "inner")
     best = F.least("n_entity", "n_term")
     both = terms.join(named.join(alone, "entity"), "rid").filter(discloses(best, F.col("n_entity"), F.col("n_term"), total, tested, threshold, chance))
     pairs = both.groupBy("entity", "n_entity", "h", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
@@ -200,17 +212,37 @@ def disclosing(found: DataFrame, threshold: float, chance: float) -> DataFrame |
     return None if out.isEmpty() else out
 
 
+def _hits(found: DataFrame, telling: DataFrame | None, words, name: str) -> DataFrame:
+    """found with the hashes of its telling terms or classes; null if it has none."""
+    if telling is None:
+        return found.withColumn(name, F.lit(None).cast("array<bigint>"))
+    return found.join(sent(_held(found, words), telling, ["h"], "left_semi").groupBy("rid").agg(F.collect_list("h").alias(name)), "rid", "left")
+
+
 def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", threshold: float = 0.9, chance: float = 0.05) -> DataFrame:
-    """Adds spans of email, ip, card, phone and term, beside ``row``, the input's columns (all, or those to keep)."""
+    """Spans of email, ip, card, phone and term, ``general``, what each term is replaced by, and ``sanitised``, the text
+    without all of them, beside ``row``, the input's columns (all, or those to keep)."""
     found = cut(entities(df, keep or df.columns, text_col))
     telling = disclosing(found, threshold, chance)
+    none = F.array().cast("array<string>")
     if telling is None:
-        return found.select("row", *KINDS, F.array().cast(SPANS).alias("term"))
-    hits = sent(_held(found), telling, ["h"], "left_semi").groupBy("rid").agg(F.collect_list("h").alias("hs"))
-    marked = F.zip_with(spans(F.col("m"), TERM), _terms(F.col("m")), lambda s, x: F.when(F.array_contains("hs", F.xxhash64(x)), s))
-    terms = found.select("rid", "m").join(hits, "rid").select("rid", F.filter(marked, lambda s: s.isNotNull()).alias("term"))
-    out = found.select("rid", "row", *KINDS).join(terms, "rid", "left")
-    return out.select("row", *KINDS, F.coalesce("term", F.array().cast(SPANS)).alias("term"))
+        return found.select("row", *KINDS, F.array().cast(SPANS).alias("term"), none.alias("general"), sanitise(F.col("m"), list(KINDS)).alias("sanitised"))
+    # a class that discloses is looked for only in texts that have a telling term
+    marked = _hits(found, telling, _terms, "hs")
+    wide = disclosing(found, threshold, chance, _classes)
+    if wide is not None:
+        marked = cut(marked)
+        hit = _hits(marked.filter("hs IS NOT NULL").select("rid", "m"), wide, _classes, "cs").select("rid", "cs")
+        marked = marked.join(hit, "rid", "left")
+    else:
+        marked = marked.withColumn("cs", F.lit(None).cast("array<bigint>"))
+    m = F.col("m")
+    instead = lambda c: F.when(F.array_contains("cs", F.xxhash64(c)), "[TERM]").otherwise(c)
+    each = F.arrays_zip(spans(m, TERM).alias("s"), _terms(m).alias("x"), F.transform(_classes(m), instead).alias("c"))
+    told = F.when(F.col("hs").isNotNull(), F.filter(each, lambda e: F.array_contains("hs", F.xxhash64(e["x"]))))
+    out = marked.select("row", *KINDS, "m", told.alias("told_"))
+    out = out.select("row", *KINDS, "m", F.coalesce("told_.s", F.array().cast(SPANS)).alias("term"), F.coalesce("told_.c", none).alias("general"))
+    return out.select("row", *KINDS, "term", "general", sanitise(m, [*KINDS, "term"], F.col("general")).alias("sanitised"))
 
 
 def all_spans(kinds: list[str]) -> Column:
@@ -218,17 +250,32 @@ def all_spans(kinds: list[str]) -> Column:
     return F.array_join(F.flatten(F.array(*(listed(F.lit(k), F.col(k)) for k in kinds))), ",")
 
 
-def sanitise(text: Column, kinds: list[str]) -> Column:
-    """The text with each span replaced by its kind in brackets; of spans that overlap, the first, then the longest, goes."""
-    each = F.flatten(F.array(*(F.transform(k, _named(k)) for k in kinds)))
-    every = F.array_sort(F.transform(each, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    done = F.aggregate(
-        every,
-        zero,
-        lambda a, s: F.when(
-            s["start"] >= a["pos"],
-            F.struct((-s["end"]).alias("pos"), F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")),
-        ).otherwise(a),
-    )
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["pos"] + 1, F.length(text))))
+def sanitise(text: Column, kinds: list[str], general: Column | None = None) -> Column:
+    """The text with each span replaced by its kind in brackets, a term by what ``general`` has for it if that is given.
+
+    Spans that overlap go together, for what the first, then the longest, is replaced by.
+    """
+
+    def named(kind: str):
+        mark = lambda i: F.get(general, i) if kind == "term" and general is not None else F.lit(f"[{kind.upper()}]")
+        return F.transform(kind, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), mark(i).alias("mark")))
+
+    def heads(every: Column, ends: Column, before: Column) -> Column:
+        """The first spans of those that overlap, and how far all before them reach; the greatest ends are known by blocks."""
+
+        def reach(x: Column, i: Column) -> Column:
+            block = (i / STEP).cast("int")
+            last = F.coalesce(F.array_max(F.slice(ends, block * STEP + 1, i - block * STEP)), F.lit(0))
+            return F.struct(x["start"].alias("start"), x["mark"].alias("mark"), F.greatest(F.get(before, block), last).alias("since"))
+
+        return F.filter(F.transform(every, reach), lambda x: x["start"] >= x["since"])
+
+    def joined(every: Column, ends: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(ends), F.lit(STEP)), lambda k: F.array_max(F.slice(ends, k, STEP)))
+        upto = F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.greatest(F.element_at(a, -1), x))))
+        parts = let(upto, lambda before: F.transform(heads(every, ends, before), lambda x: F.concat(F.substring(text, x["since"] + 1, x["start"] - x["since"]), x["mark"])))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    each = F.array_sort(F.flatten(F.array(*(named(k) for k in kinds))))
+    some = sum((F.size(k) for k in kinds), F.lit(0)) > 0
+    return F.when(some, let(each, lambda every: let(F.transform(every, lambda x: -x["end"]), lambda ends: joined(every, ends)))).otherwise(text)

@@ -25,9 +25,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of ids with crc32 mod 4 = 2 are held out."""
+    """Labels of ids with crc32 mod 4 = 2 are held out; a null id is not."""
     documents, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = toxicity.fit(documents, labels, ~held_out)
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight")
@@ -43,6 +43,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in PII_KINDS[:-1]),
         F.sha2(pii.all_spans(PII_KINDS[:-1]), 256).alias("base_sha256"),
         pii.all_spans(PII_KINDS).alias("spans"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
     )
 
 

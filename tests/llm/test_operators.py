@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on small, awkward tables."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -192,6 +194,43 @@ def test_toxicity_learns_words_and_exceptions(spark, none):
     assert toxicity.score(none, model).collect() == []
 
 
+def folded(text):
+    """The fold, character by character."""
+    text = unicodedata.normalize("NFC", text.lower())
+    text = "".join(toxicity.LOOK_ALIKES.get(c, chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) < 0xFF5F else c) for c in text if c not in "\u00ad\u200b\u200c\u200d\u2060\ufeff")
+    inside = [c.isalnum() or c in "@$!" and 0 < k < len(text) - 1 and text[k - 1].isalnum() and text[k + 1].isalnum() for k, c in enumerate(text)]
+    out, k = "", 0
+    while k < len(text):
+        if not inside[k]:
+            out, k = out + " ", k + 1
+            continue
+        end = k
+        while end < len(text) and inside[end]:
+            end += 1
+        run = text[k:end]
+        if any(c.isalpha() for c in run):
+            run = "".join(toxicity.STAND_INS.get(c, c) for c in run)
+        out, k = out + "".join(c if c.isalnum() else " " for c in run), end
+    return f" {' '.join(out.split())} "
+
+
+def test_scores_against_a_plain_reading(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ["zork", "z0rk", "ZORK", "zоrk", "fish", "f1sh", "the", "sea", "idi", "ot", "1d10t", "12", "3", "@", "$", "!", "_", "-", " ", " ", " ", "\u200b", "é", "e\u0301", "ｉ", "\n", "a@b", "zor"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(600)] + [None, "", "   ", "zork " * 20_000 + "the zork fish"]
+    model = toxicity.Model({" zork ": 2.5, " zor": 0.25, " idiot ": 1.75, " fi": 0.5, " sea ": 1.0}, [" the zork fish ", " zork zork ", " fish sea the "], (-2.0, 1.5, 0.75))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("weight", F.lit(1))
+    for r in toxicity.score(df, model).collect():
+        f = folded(texts[r.doc_id] or "")
+        spared = {k for p in model.exceptions for m in re.finditer(f"(?={re.escape(p)})", f) for k in range(m.start(), m.start() + len(p))}
+        weight = sum(w for p, w in model.weights.items() for m in re.finditer(f"(?={re.escape(p)})", f) if m.start() not in spared)
+        n = len(f.split())
+        z = -2.0 + 1.5 * math.log(1 + weight) + 0.75 * math.log(1 + 100 * weight / max(n, 20))
+        assert (r.n_words, round(r.weight, 9), round(r.score, 9)) == (n, round(weight, 9), round(1 / (1 + math.exp(-z)), 9)), texts[r.doc_id]
+
+
 # 4
 
 
@@ -308,6 +347,86 @@ def test_disclosing_terms_go_far_from_their_entity_and_without_it(spark):
     assert set(got) == {1000, 1001, 1002, 1003} and all("Marrowby" in x for x in got.values())
 
 
+TERM = r"[^\W_](?:[^\W_]|['-])*"
+
+
+def test_terms_classes_and_sanitised_texts_by_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(700):
+        rows.append((k, " ".join(rng.choice(["note", "came", "of", "it", f"w{k % 90}", f"v{k % 70}", str(1000 + k % 7), "Paris"]) for _ in range(rng.randint(4, 12)))))
+    for k in range(8):
+        rows.append((2000 + k, f"Marrowby {1900 + k // 4} came at m.m@example.org, MARROWBY's 77123 of note {k}"))
+        rows.append((3000 + k, f"it came to Quill at 10.1.1.1 or x7q9 , quill of Paris"))
+    rows += [(4000, "marrowby and 77123 without it"), (4001, ""), (4002, None), (4003, "z@z.zz and +4111 1111 1111 1111 11 of z@z.zz")]
+    threshold, chance, total = 0.9, 0.05, len(rows)
+    blank, ents, where = {}, {}, {}
+    for i, t in rows:
+        t = t or ""
+        where[i], m = personal(t), t
+        for kind, found in where[i].items():
+            for a, b in found:
+                v = (kind, t[a:b].lower() if kind == "email" else t[a:b] if kind == "ip" else re.sub("[^0-9]", "", t[a:b]))
+                ents.setdefault(v, set()).add(i)
+                m = m[:a] + " " * (b - a) + m[b:]
+        blank[i] = m
+
+    def kind_of(x):
+        if x.isnumeric():
+            return x[0] + "#" * (len(x) - 1) if len(x) > 1 else "#"
+        return "[CODE]" if any(c.isnumeric() for c in x) else "[NAME]" if x[0].isupper() else "[WORD]"
+
+    def telling(of):
+        docs = {}
+        for i, m in blank.items():
+            for x in re.findall(TERM, m):
+                docs.setdefault(of(x), set()).add(i)
+        out = set()
+        for x, d in docs.items():
+            for e in ents.values():
+                both = len(d & e)
+                if not both or len(e) == total:
+                    continue
+                share = math.log2(both * total / (len(e) * len(d)))
+                rest = (len(e) - both) * math.log2((len(e) - both) * total / (len(e) * max(total - len(d), 1))) if len(e) > both else 0
+                if share >= threshold * math.log2(total / len(e)) and both * share + rest >= math.log2(len(docs) / chance):
+                    out.add(x)
+        return out
+
+    terms, wide = telling(str.lower), telling(kind_of)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    general = set()
+    for r in pii.find(df, keep=["doc_id"]).collect():
+        i, m = r.row.doc_id, blank[r.row.doc_id]
+        want = [(x.start(), x.end(), "[TERM]" if kind_of(x[0]) in wide else kind_of(x[0])) for x in re.finditer(TERM, m) if x[0].lower() in terms]
+        assert [(s.start, s.end, g) for s, g in zip(r.term, r.general, strict=True)] == want, i
+        general |= {g for _, _, g in want}
+        every = sorted([(a, -b, f"[{k.upper()}]") for k, v in where[i].items() for a, b in v] + [(a, -b, g) for a, b, g in want])
+        out, pos = "", 0
+        for a, b, mark in every:
+            if a >= pos:
+                out += m[pos:a] + mark
+            pos = max(pos, -b)
+        assert r.sanitised == out + m[pos:], i
+    assert {"[NAME]", "[TERM]"} <= general and "Marrowby".lower() in terms
+
+
+def test_sanitising_many_spans_that_overlap(spark):
+    text = "1.1.1.1 " * 300 + "4111 1111 1111 1111 +4111 1111 1111 1111 x@y.zz" + " 8.8.8.8@a.bc" * 90 + " end"
+    df = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string")
+    got = {r.row.doc_id: r.sanitised for r in pii.find(df, keep=["doc_id"]).collect()}
+    assert got[2] == "none" and got[3] == ""
+    every = sorted((a, -b, f"[{k.upper()}]") for k, v in personal(text).items() for a, b in v)
+    out, pos = "", 0
+    for a, b, mark in every:
+        if a >= pos:
+            out += text[pos:a] + mark
+        pos = max(pos, -b)
+    assert got[1] == out + text[pos:] and "8.8" not in got[1]
+
+
 # 6
 
 
