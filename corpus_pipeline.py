@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import bpe, decontaminate, lines, neardup, quality
+from tallyloom.llm._util import MADE, settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again before the next."""
-    from tallyloom.llm._util import cut
-
+    """All stages over documents; what a stage returns is written and read again before the next, then the tables it made on the way are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(MADE.paths)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
+        docs = stage(spark, docs if k == 0 else settled(docs, since), sf_dir)
     return docs
