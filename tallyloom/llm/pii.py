@@ -157,8 +157,8 @@ def entities(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     return found
 
 
-def _terms(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
 def _class(term: Column) -> Column:
@@ -167,13 +167,9 @@ def _class(term: Column) -> Column:
     return F.when(term.rlike(r"^\p{N}+$"), number).when(term.rlike(r"\p{N}"), "[CODE]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
 
 
-def _classes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _class)
-
-
-def _held(found: DataFrame, words=_terms) -> DataFrame:
+def _held(found: DataFrame, form=F.lower) -> DataFrame:
     """rid and h: the terms of each text, or their classes, by hash."""
-    return found.select("rid", F.explode(F.array_distinct(F.transform(words(F.col("m")), lambda x: F.xxhash64(x)))).alias("h"))
+    return found.select("rid", F.explode(F.array_distinct(F.transform(F.array_distinct(_words(F.col("m"))), lambda x: F.xxhash64(form(x))))).alias("h"))
 
 
 def evidence(both: Column, entity: Column, term: Column, total: int) -> Column:
@@ -189,7 +185,7 @@ def discloses(both: Column, entity: Column, term: Column, total: int, tested: in
     return (information > 0) & (shared >= threshold * information) & (evidence(both, entity, term, total) >= math.log2(tested / chance))
 
 
-def disclosing(found: DataFrame, threshold: float, chance: float, words=_terms) -> DataFrame | None:
+def disclosing(found: DataFrame, threshold: float, chance: float, form=F.lower) -> DataFrame | None:
     """h, the hashes of terms (or classes of them) that disclose an entity; None if there are none."""
     named = found.filter(F.size("values") > 0).select("rid", F.explode("values").alias("entity"))
     alone = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
@@ -198,13 +194,13 @@ def disclosing(found: DataFrame, threshold: float, chance: float, words=_terms)
         return None
     total = found.count()
     # over all documents; terms by hash, so that counting them is sums of numbers
-    used = cut(_held(found, words).groupBy("h").agg(F.count(F.lit(1)).alias("n_term")))
+    used = cut(_held(found, form).groupBy("h").agg(F.count(F.lit(1)).alias("n_term")))
     tested = used.count()
     # a term more frequent than any entity's information allows, or too rare for chance at its best, is in no pair
     n = F.col("n_term")
     able = (n <= 1.001 * most**threshold * float(total) ** (1 - threshold)) & (n * F.log2(float(total) / n) >= math.log2(tested / chance) - 0.001)
     rare = cut(used.filter(able))
-    terms = sent(_held(found.filter(F.size("values") > 0), words), rare, ["h"], "inner")
+    terms = sent(_held(found.filter(F.size("values") > 0), form), rare, ["h"], "inner")
     best = F.least("n_entity", "n_term")
     both = terms.join(named.join(alone, "entity"), "rid").filter(discloses(best, F.col("n_entity"), F.col("n_term"), total, tested, threshold, chance))
     pairs = both.groupBy("entity", "n_entity", "h", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
@@ -212,11 +208,11 @@ def disclosing(found: DataFrame, threshold: float, chance: float, words=_terms)
     return None if out.isEmpty() else out
 
 
-def _hits(found: DataFrame, telling: DataFrame | None, words, name: str) -> DataFrame:
-    """found with the hashes of its telling terms or classes; null if it has none."""
+def _hits(found: DataFrame, telling: DataFrame | None, form, name: str) -> DataFrame:
+    """rid and the hashes of a text's telling terms or classes, for texts that have any."""
     if telling is None:
-        return found.withColumn(name, F.lit(None).cast("array<bigint>"))
-    return found.join(sent(_held(found, words), telling, ["h"], "left_semi").groupBy("rid").agg(F.collect_list("h").alias(name)), "rid", "left")
+        return found.select("rid", F.array().cast("array<bigint>").alias(name)).limit(0)
+    return cut(sent(_held(found, form), telling, ["h"], "left_semi").groupBy("rid").agg(F.collect_list("h").alias(name)))
 
 
 def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", threshold: float = 0.9, chance: float = 0.05) -> DataFrame:
@@ -227,19 +223,14 @@ def find(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", t
     none = F.array().cast("array<string>")
     if telling is None:
         return found.select("row", *KINDS, F.array().cast(SPANS).alias("term"), none.alias("general"), sanitise(F.col("m"), list(KINDS)).alias("sanitised"))
+    hits = _hits(found, telling, F.lower, "hs")
     # a class that discloses is looked for only in texts that have a telling term
-    marked = _hits(found, telling, _terms, "hs")
-    wide = disclosing(found, threshold, chance, _classes)
-    if wide is not None:
-        marked = cut(marked)
-        hit = _hits(marked.filter("hs IS NOT NULL").select("rid", "m"), wide, _classes, "cs").select("rid", "cs")
-        marked = marked.join(hit, "rid", "left")
-    else:
-        marked = marked.withColumn("cs", F.lit(None).cast("array<bigint>"))
+    wide = _hits(found.join(hits, "rid", "left_semi"), disclosing(found, threshold, chance, _class), _class, "cs")
+    marked = found.join(hits.join(wide, "rid", "left"), "rid", "left")
     m = F.col("m")
-    instead = lambda c: F.when(F.array_contains("cs", F.xxhash64(c)), "[TERM]").otherwise(c)
-    each = F.arrays_zip(spans(m, TERM).alias("s"), _terms(m).alias("x"), F.transform(_classes(m), instead).alias("c"))
-    told = F.when(F.col("hs").isNotNull(), F.filter(each, lambda e: F.array_contains("hs", F.xxhash64(e["x"]))))
+    instead = lambda c: F.when(F.coalesce(F.array_contains("cs", F.xxhash64(c)), F.lit(False)), "[TERM]").otherwise(c)
+    each = F.zip_with(spans(m, TERM), _words(m), lambda s, x: F.when(F.array_contains("hs", F.xxhash64(F.lower(x))), F.struct(s.alias("s"), instead(_class(x)).alias("c"))))
+    told = F.when(F.col("hs").isNotNull(), F.filter(each, lambda e: e.isNotNull()))
     out = marked.select("row", *KINDS, "m", told.alias("told_"))
     out = out.select("row", *KINDS, "m", F.coalesce("told_.s", F.array().cast(SPANS)).alias("term"), F.coalesce("told_.c", none).alias("general"))
     return out.select("row", *KINDS, "term", "general", sanitise(m, [*KINDS, "term"], F.col("general")).alias("sanitised"))
@@ -257,8 +248,10 @@ def sanitise(text: Column, kinds: list[str], general: Column | None = None) -> C
     """
 
     def named(kind: str):
-        mark = lambda i: F.get(general, i) if kind == "term" and general is not None else F.lit(f"[{kind.upper()}]")
-        return F.transform(kind, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), mark(i).alias("mark")))
+        entry = lambda s, mark: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), mark.alias("mark"))
+        if kind == "term" and general is not None:
+            return F.zip_with(kind, general, entry)
+        return F.transform(kind, lambda s: entry(s, F.lit(f"[{kind.upper()}]")))
 
     def heads(every: Column, ends: Column, before: Column) -> Column:
         """The first spans of those that overlap, and how far all before them reach; the greatest ends are known by blocks."""
